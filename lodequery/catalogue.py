@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .plans import text_queries, vector_queries
+
+_ALL = vector_queries.Q | text_queries.Q
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Vector search with candidates' labels."""
+    return vector_queries.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}

@@ -1 +1 @@
-
+"""Query plans: how the library operators are put together for the catalogue."""

@@ -12,7 +12,7 @@ that a window collides with are verified by exact containment of their shingles
 
 Two steps lose nothing and save most work: a text without any template's anchor word holds no
 template shingle, and a window without any template shingle shares no band. The templates are a
-parameter of bounded size and stand in the plan as literals, so nothing is joined or shuffled.
+parameter of bounded size; their bands are broadcast.
 """
 
 from __future__ import annotations
@@ -87,12 +87,12 @@ def library(templates: dict[str, str] = TEMPLATES) -> list[Template]:
 
 
 def anchors(found: list[Template]) -> list[str]:
-    """A few words of which every template's every shingle holds at least one, the longest first among equals."""
+    """A few words of which every template's every shingle holds at least one, long words where there are any."""
     left = {s for t in found for s in t.shingles}
     out = []
     while left:
         words = {w for s in left for w in s.split()}
-        best = max(words, key=lambda w: (sum(w in s.split() for s in left) * min(len(w), 6), len(w), w))
+        best = max(words, key=lambda w: (min(len(w), 6), sum(w in s.split() for s in left), w))
         out.append(best)
         left = {s for s in left if best not in s.split()}
     return out
@@ -105,44 +105,45 @@ def band_keys(shingles: Column) -> Column:
     return F.transform(seeds, lambda b: F.xxhash64(b, F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, b)))))
 
 
-def _found(words: Column, found: list[Template]) -> Column:
-    """Names of the templates of one shingle width that the words hold."""
-    width = found[0].width
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    grams = F.when(F.size(words) >= width, grams).otherwise(F.array().cast("array<string>"))
+def windows(words: DataFrame, found: list[Template]) -> DataFrame:
+    """(_row, width, step, grams): the windows of every class that hold any template's shingle, from (_row, words)."""
+    kinds = sorted({(t.width, t.size_class) for t in found})
+    table = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("step")) for w, s in kinds])
+    placed = words.withColumn("kind", F.explode(table)).select("__license_row", "words", "kind.width", "kind.step")
+    last = F.size("words") - F.col("width")  # the last shingle's place
+    starts = placed.filter(last >= 0).select("__license_row", "words", "width", "step", F.explode(F.sequence(F.lit(0), last, F.col("step"))).alias("at"))
+    end = F.least(F.size("words") - F.col("width"), F.col("at") + 2 * F.col("step") - 1)
+    grams = F.transform(F.sequence(F.col("at"), end), lambda i: F.array_join(F.slice("words", i + 1, F.col("width")), " "))
     known = F.array(*[F.lit(s) for s in sorted({s for t in found for s in t.shingles})])
-    names = []
-    for s in sorted({t.size_class for t in found}):
-        group = [t for t in found if t.size_class == s]
-        starts = F.when(F.size(grams) > 0, F.sequence(F.lit(1), F.size(grams), F.lit(s))).otherwise(F.array().cast("array<int>"))
-        windows = F.filter(F.transform(starts, lambda i: F.slice(grams, i, 2 * s)), lambda w: F.arrays_overlap(w, known))  # noqa: B023
-        keyed = F.transform(windows, lambda w: F.struct(w.alias("grams"), band_keys(w).alias("keys")))
-        for t in group:
-            mine = F.array(*[F.lit(g) for g in t.shingles])
-            need = -(-round(SHARE * 100) * len(t.shingles) // 100)
-            hit = lambda w: F.arrays_overlap(w["keys"], band_keys(mine)) & (F.size(F.array_intersect(w["grams"], mine)) >= need)  # noqa: B023, E731
-            names.append(F.when(F.exists(keyed, hit), F.lit(t.name)))
-    return F.array_compact(F.array(*names))
+    return starts.select("__license_row", "width", "step", grams.alias("grams")).filter(F.arrays_overlap("grams", known))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """docs with `licenses`, the sorted names of the templates whose shingles a window holds to the share asked for.
 
-    Null and empty texts hold none. Repeated rows are scanned each; a column named licenses is replaced.
+    Null and empty texts hold none. Repeated rows are scanned each; a column named licenses is
+    replaced. Only rows that hold an anchor are cut into windows; the template tables are as small
+    as MOST_TEMPLATES allows.
     """
-    found = library(templates)
-    low = F.translate(text_of(), UPPER, LOWER)
-    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    found, spark = library(templates), docs.sparkSession
     none = F.array().cast("array<string>")
     if not found:
         return docs.drop("licenses").withColumn("licenses", none)
+    low = F.translate(text_of(), UPPER, LOWER)
+    row = F.struct(F.col("doc_id"), F.xxhash64(text_of()).alias("hash"))
     maybe = F.lit(False)
     for a in anchors(found):
         maybe = maybe | F.contains(low, F.lit(a))
-    each = [_found(F.col("_words"), [t for t in found if t.width == w]) for w in sorted({t.width for t in found})]
-    kept = docs.drop("licenses").withColumn("_words", F.when(maybe, words))
-    licenses = F.when(F.col("_words").isNull(), none).otherwise(F.array_sort(F.concat(*each)))
-    return kept.withColumn("licenses", licenses).drop("_words")
+    words = docs.filter(maybe).select(row.alias("__license_row"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
+    named = [(t.name, t.width, t.size_class, list(t.shingles), -(-round(SHARE * 100) * len(t.shingles) // 100)) for t in found]
+    table = spark.createDataFrame(named, "name string, width int, step int, shingles array<string>, need int")
+    bands = table.withColumn("band", F.explode(band_keys(F.col("shingles"))))
+    keyed = windows(words, found).withColumn("band", F.explode(band_keys(F.col("grams"))))
+    met = keyed.join(F.broadcast(bands), ["width", "step", "band"])
+    verified = met.filter(F.size(F.array_intersect("grams", "shingles")) >= F.col("need"))
+    names = verified.groupBy("__license_row").agg(F.array_sort(F.collect_set("name")).alias("licenses"))
+    joined = docs.drop("licenses").withColumn("__license_key", row).join(names, F.col("__license_key").eqNullSafe(F.col("__license_row")), "left")
+    return joined.withColumn("licenses", F.coalesce("licenses", none)).drop("__license_row", "__license_key")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -155,14 +156,14 @@ def oracle_sql() -> str:
     found = library()
     rows = ", ".join(f"({quote(t.name)}, {quote(g)}, {t.width}, {t.size_class}, {-(-round(SHARE * 100) * len(t.shingles) // 100)})" for t in found for g in t.shingles)
     widths = " union all ".join(
-        f"select doc_id, {w} as width, unnest(list_transform(generate_series(1, len(w) - {w - 1}), lambda i: {{'at': i - 1, 'gram': array_to_string(w[i:i + {w - 1}], ' ')}})) as x from d"
+        f"select doc_id, {w} as width, unnest(list_transform(generate_series(1, len(w) - {w - 1}), lambda i: {{'place': i - 1, 'gram': array_to_string(w[i:i + {w - 1}], ' ')}})) as x from d"
         for w in sorted({t.width for t in found})
     )
     return f"""
 with t(name, gram, width, step, need) as (values {rows}),
 d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as w from documents),
-g as (select doc_id, width, x.at as at, x.gram as gram from ({widths})),
-h as (select g.doc_id, t.name, t.need, t.gram, unnest([at // step, at // step - 1]) as win from g join t using (gram, width)),
+g as (select doc_id, width, x.place as place, x.gram as gram from ({widths})),
+h as (select g.doc_id, t.name, t.need, t.gram, unnest([place // step, place // step - 1]) as win from g join t using (gram, width)),
 m as (select doc_id, name from h where win >= 0 group by doc_id, name, need, win having count(distinct gram) >= need),
 n as (select doc_id, count(distinct name)::bigint as n, string_agg(distinct name, ',' order by name) as names from m group by doc_id)
 select documents.doc_id, coalesce(n.n, 0)::bigint as n_licenses, coalesce(n.names, '') as licenses from documents left join n using (doc_id)"""

@@ -107,15 +107,15 @@ def _level(rows: DataFrame, group: Column, fan_in: int, seed: int) -> DataFrame:
     return settled.select("source", got["size"].alias("size"), got["hash"].alias("hash"), F.col("x.p").alias("p"), got["keep"].alias("keep"), F.col("x.unit").alias("unit"))
 
 
-def pivotal_copies(sized: DataFrame, seed: int = 7, weights=WEIGHTS, cap: float = CAP, fan_in: int = FAN_IN) -> DataFrame:
-    """sized (doc_id, source, size) with source_size, target, copies and taken (size * copies).
+def pivotal_copies(sized: DataFrame, seed: int = 7, weights=WEIGHTS, cap: float = CAP, fan_in: int = FAN_IN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """sized (doc_id, source, size and the carried columns) with source_size, target, copies and taken (size * copies).
 
     A source's rows are spread over blocks of about fan_in rows by size class and a hash, so a
     source with a third of all rows is many blocks of the usual size. Repeated rows are rounded
     each on its own; null sizes count as 0; no rows give no rows. Given the rows and the seed the
     result is the same in any run.
     """
-    sized = materialise(sized.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sized = materialise(sized.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *carry), "mix-sizes")
     targets = source_targets(sized, weights, cap).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     whole = F.floor(rate).cast("long")
@@ -124,7 +124,7 @@ def pivotal_copies(sized: DataFrame, seed: int = 7, weights=WEIGHTS, cap: float
         "size",
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.lit(seed)).alias("hash"),
         (rate - whole).alias("p"),
-        F.struct("doc_id", "source_size", "target", whole.alias("whole")).alias("keep"),
+        F.struct("doc_id", "source_size", "target", whole.alias("whole"), *carry).alias("keep"),
     )
     octave = F.log2(F.col("size") + 1.0)
     groups = [F.floor(octave * FINE).cast("int"), F.floor(octave).cast("int")]
@@ -143,7 +143,7 @@ def pivotal_copies(sized: DataFrame, seed: int = 7, weights=WEIGHTS, cap: float
     for x in done[1:]:
         every = every.unionByName(x)
     copies = F.col("keep.whole") + F.col("unit")
-    return every.select("keep.doc_id", "source", "size", "keep.source_size", "keep.target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return every.select("keep.doc_id", "source", "size", "keep.source_size", "keep.target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[F.col(f"keep.{c}") for c in carry])
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -159,8 +159,8 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     key = F.xxhash64("doc_id", "source", "text")
     columns = docs.columns
-    tagged = docs.withColumn("_key", key)
-    sized = tagged.select(F.struct("_key", "doc_id").alias("doc_id"), "source", word_count(text_of()).alias("size"))
-    copies = pivotal_copies(sized, seed).groupBy(F.col("doc_id._key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
-    rows = tagged.dropDuplicates(["_key"]).join(copies, "_key").filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    tagged = docs.withColumn("__mix_key", key)
+    sized = tagged.select("doc_id", "source", word_count(text_of()).alias("size"), "__mix_key")
+    copies = pivotal_copies(sized, seed, carry=("__mix_key",)).groupBy("__mix_key").agg(F.sum("copies").cast("int").alias("__mix_copies"))
+    rows = tagged.dropDuplicates(["__mix_key"]).join(copies, "__mix_key").filter("__mix_copies > 0")
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*columns)

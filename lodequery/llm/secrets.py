@@ -141,9 +141,9 @@ def postings(docs: DataFrame, vocabulary: list[str] | None, blocks: int) -> Data
         grams = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(...))"), F.lit(1)))
     else:
         grams = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in vocabulary]))
-    held = docs.select("_row", F.explode(grams).alias("trigram"))
-    block = F.pmod(F.col("_row"), F.lit(blocks)).alias("block")
-    return held.groupBy(block, "trigram").agg(F.collect_set("_row").alias("rows"))
+    held = docs.select("__secret_row", F.explode(grams).alias("trigram"))
+    block = F.pmod(F.col("__secret_row"), F.lit(blocks)).alias("block")
+    return held.groupBy(block, "trigram").agg(F.collect_set("__secret_row").alias("rows"))
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -153,8 +153,8 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     table = spark.createDataFrame(terms, "kind string, conj int, trigram string, needed int")
     lists = index.join(F.broadcast(table), "trigram").groupBy("block", "kind", "conj", "needed").agg(F.collect_list("rows").alias("lists"))
     full = lists.filter(F.size("lists") == F.col("needed"))
-    met = full.select("kind", F.explode(F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), F.array_intersect)).alias("_row"))
-    return met.groupBy("_row").agg(F.collect_set("kind").alias("kinds"))
+    met = full.select("kind", F.explode(F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), F.array_intersect)).alias("__secret_row"))
+    return met.groupBy("__secret_row").agg(F.collect_set("kind").alias("kinds"))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -187,18 +187,18 @@ def scan(docs: DataFrame, rules=RULES, block: int = BLOCK) -> DataFrame:
     that is named spans is replaced.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    keyed = docs.drop("spans").withColumn("_row", row_key(docs))
+    keyed = docs.drop("spans").withColumn("__secret_row", row_key(docs))
     blocks = parts_for(docs.count(), block)
     vocabulary = sorted({g for q in queries.values() for c in q for g in c})
-    found = candidates(postings(keyed, vocabulary, blocks), queries).withColumnRenamed("kinds", "_kinds")
-    joined = keyed.join(found, "_row", "left")
+    found = candidates(postings(keyed, vocabulary, blocks), queries).withColumnRenamed("kinds", "__secret_kinds")
+    joined = keyed.join(found, "__secret_row", "left")
     text = text_of()
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     each = []
     for order, rule in enumerate(rules):
         spans = spans_of(text, rule, order)
-        each.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(none) if rule.kind in queries else spans)
-    return joined.withColumn("spans", F.array_sort(F.concat(*each))).drop("_row", "_kinds")
+        each.append(F.when(F.array_contains("__secret_kinds", rule.kind), spans).otherwise(none) if rule.kind in queries else spans)
+    return joined.withColumn("spans", F.array_sort(F.concat(*each))).drop("__secret_row", "__secret_kinds")
 
 
 def render(spans: Column) -> Column:

@@ -8,9 +8,9 @@ The product runs in blocks of columns: a block's rows of one n-gram are multipli
 like size, counts are summed by pair, and pairs whose count can't reach what their sizes ask are
 dropped. What is left is verified on whole sets.
 
-Equal sets are one row of the matrix. Large groups of near copies are first joined to pivots that
-share one of their first few n-grams, and the product skips pairs that are connected already, so
-a group of g near copies costs about g verified pairs, not g * g. Nothing is capped: all pairs
+Equal sets are one row of the matrix. Large groups of near copies are first joined to pivots with
+which they share a min-hash pair, then to their most promising partners, and pairs that are
+connected already are skipped, so a group of g near copies costs about g verified pairs, not g * g. Nothing is capped: all pairs
 that aren't connected yet are multiplied.
 """
 
@@ -22,20 +22,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import drop_scratch, materialise, parts_for, text_of
 from .simhash import scramble
 
 SIZE = 4
 PERCENT = 85
 #: An n-gram in at least this share of the documents (and in LEAST_COMMON) counts as common: at most mean set size / share are.
 COMMON_SHARE = 1 / 4000
-LEAST_COMMON = 64
-#: N-grams whose counts a task adds up before it reports them.
+LEAST_COMMON = 32
+#: N-grams that a task gathers before it reports them, and code points of text whose n-grams one task counts.
 CHUNK = 1_500_000
-#: First n-grams that tie a document to a pivot.
-PIVOTS = 3
+RANGE_CHARS = 24_000_000
+#: Salts of the min-hash pairs that tie a document to a pivot.
+SALTS = (0x0, 0x5BD1E995A7C15D3B)
 #: Words of the fixed-size bitmap that thins the table read for verification.
 BITMAP = 1 << 17
 REMEMBERED = 300_000
@@ -85,24 +87,34 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
-def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, hi, lo) of all documents, and (shingle, count) of those that repeat within a task's chunk."""
-    schema = "doc_id long, n long, hi long, lo long, shingle long, count long"
+def _sets(docs: DataFrame, size: int, ranges: int) -> DataFrame:
+    """Rows (doc_id, n, hi, lo) of all documents and, with null n, rows (range, first, gaps): the n-grams of a chunk's distinct sets.
+
+    Of an n-gram's hash the upper 32 bits are kept, sorted within ranges of values and written as
+    the gaps between them, 2 bytes each where the chunk is large.
+    """
+    schema = "doc_id long, n long, hi long, lo long, range int, first long, gaps binary"
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, kinds, names = Shingler(size), [pa.int64()] * 6, [x.split()[0] for x in schema.split(", ")]
+        make = Shingler(size)
         chunk: dict[tuple[int, int], np.ndarray] = {}
         total = 0
 
-        def counts() -> Iterator[pa.RecordBatch]:
-            if chunk:
-                values, n = np.unique(np.concatenate(list(chunk.values())), return_counts=True)
-                common = n >= 3
-                k = int(common.sum())
-                if k:
-                    gone = pa.nulls(k, pa.int64())
-                    yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.array(values[common].view(np.int64)), pa.array(n[common].astype(np.int64))], names=names)
-                chunk.clear()
+        def held() -> pa.RecordBatch:
+            values = np.sort(upper(np.concatenate(list(chunk.values())))).astype(np.int64)
+            chunk.clear()
+            edges = np.searchsorted(values, [-(-(r << 32) // ranges) for r in range(ranges + 1)])
+            at, first, gaps = [], [], []
+            for r in np.flatnonzero(np.diff(edges)):
+                part = values[edges[r] : edges[r + 1]]
+                gap = np.diff(part)
+                at.append(int(r))
+                first.append(int(part[0]))
+                gaps.append(b"2" + gap.astype(np.uint16).tobytes() if not len(gap) or gap.max() < 1 << 16 else b"4" + gap.astype(np.uint32).tobytes())
+            gone = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.array(at, kinds[4]), pa.array(first, kinds[5]), pa.array(gaps, kinds[6])], names=names)
 
         for batch in batches:
             out = []
@@ -114,54 +126,84 @@ def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                     chunk[key] = hashes
                     total += len(hashes)
                 if total >= CHUNK:
-                    yield from counts()
+                    yield held()
                     total = 0
             if out:
-                gone = pa.nulls(len(out), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=False)), gone, gone], names=names)
-        yield from counts()
+                gone = [pa.nulls(len(out), k) for k in kinds[4:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=False)), *gone], names=names)
+        if chunk:
+            yield held()
+
+    return materialise(_rows(docs).mapInArrow(run, schema), "ngram-sets")
 
-    both = materialise(_rows(docs).mapInArrow(run, schema), "ngram-sets")
-    return both.filter("n is not null").select("doc_id", "n", "hi", "lo"), both.filter("n is null").select("shingle", "count")
 
+def upper(hashes: np.ndarray) -> np.ndarray:
+    """What the common order knows of an n-gram: the upper half of its hash."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
-def _common(counts: DataFrame, n_docs: int) -> np.ndarray:
+
+def _common(chunks: DataFrame, n_docs: int) -> np.ndarray:
     """The common n-grams, sorted; how many there can be is bounded by the mean set size over COMMON_SHARE."""
-    least = max(LEAST_COMMON, n_docs * COMMON_SHARE)
-    # chunks that hold an n-gram fewer than 3 times don't report it, so half is asked for
-    found = counts.groupBy("shingle").agg(F.sum("count").alias("n")).filter(F.col("n") >= least / 2).select("shingle")
-    return np.sort(np.array([r[0] for r in found.toLocalIterator()], np.int64).view(np.uint64))
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = []
+        for first, gaps in zip(table.column("first").to_pylist(), table.column("gaps"), strict=True):
+            raw = gaps.as_py()
+            gap = np.frombuffer(raw[1:], np.uint16 if raw[:1] == b"2" else np.uint32).astype(np.int64)
+            parts.append(first + np.concatenate([[0], np.cumsum(gap)]))
+        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        often = n >= LEAST_COMMON
+        return pa.table({"value": values[often], "n": n[often].astype(np.int64)})
+
+    found = chunks.groupBy("range").applyInArrow(count, "value long, n long").filter(F.col("n") >= max(LEAST_COMMON, n_docs * COMMON_SHARE)).select("value")
+    return np.sort(np.array([r[0] for r in found.collect()], np.int64)).astype(np.uint32)
+
+
+def star_keys(hashes: np.ndarray) -> np.ndarray:
+    """Four keys of a set, each of two of its n-grams: the least and the greatest two under two orders.
+
+    Sets of likeness J agree on a key with probability near J squared, so near copies meet their
+    pivot in one of four almost surely, while sets that share only a passage seldom do.
+    """
+    out = []
+    for salt in SALTS:
+        order = np.sort(scramble(hashes ^ np.uint64(salt))) if salt else hashes
+        for k, (x, y) in enumerate(((order[0], order[min(1, len(order) - 1)]), (order[-1], order[max(-2, -len(order))]))):
+            pair = np.array([x, y, salt + k + 1], np.uint64)
+            out.append(scramble(scramble(pair[:1]) * np.uint64(3) + scramble(pair[1:2]) + pair[2:])[0])
+    return np.array(out, np.uint64)
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(shingle, n, hi, lo, place) of every set's first n-grams under the common order, each set once a task."""
+    """(key, n, hi, lo, star) of every set, each set once a task: its first n-grams under the common order, and its star keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    schema = "shingle long, n long, hi long, lo long, place int"
+    schema = "key long, n long, hi long, lo long, star boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, last = Shingler(size), set(), shared.value
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            parts, n, hi, lo, lengths = [], [], [], [], []
+            parts, n, hi, lo, lengths, stars = [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = make(text.as_py())
                 if not len(hashes) or (key := set_key(hashes)) in seen:
                     continue
                 seen.add(key)
+                keys = star_keys(hashes)
                 first = len(hashes) - needed(len(hashes), percent) + 1
                 if len(last):
-                    at = np.searchsorted(last, hashes)
-                    late = last[np.minimum(at, len(last) - 1)] == hashes
+                    known = upper(hashes)
+                    late = last[np.minimum(np.searchsorted(last, known), len(last) - 1)] == known
                     hashes = np.concatenate([hashes[~late], hashes[late]])
-                parts.append(hashes[:first])
+                parts += [keys, hashes[:first]]
                 n.append(len(hashes))
                 hi.append(key[0])
                 lo.append(key[1])
-                lengths.append(first)
+                lengths.append(first + len(keys))
+                stars.append(np.arange(first + len(keys)) < len(keys))
             if parts:
                 spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), lengths))
-                place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), spread(n), spread(hi), spread(lo), pa.array(place)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), spread(n), spread(hi), spread(lo), pa.array(np.concatenate(stars))], names=names)
 
     return _rows(docs).mapInArrow(run, schema)
 
@@ -184,33 +226,33 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _shared(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings of n-grams that two sets or more hold, with a pivot of like size for each early place."""
+    """Postings of keys that two sets or more hold; those of star keys with a pivot of like size, the others without."""
     schema = "shingle long, n long, hi long, lo long, pivot_n long, pivot_hi long, pivot_lo long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
-        for shingle, n, hi, lo, place in _runs(batches):
-            same = shingle[1:] == shingle[:-1]
+        for key, n, hi, lo, star in _runs(batches):
+            same = key[1:] == key[:-1]
             fresh = np.append(True, ~(same & (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])))  # sets that several tasks posted
-            shingle, n, hi, lo, place = (x[fresh] for x in (shingle, n, hi, lo, place))
-            same = shingle[1:] == shingle[:-1]
+            key, n, hi, lo, star = (x[fresh] for x in (key, n, hi, lo, star))
+            same = key[1:] == key[:-1]
             keep = np.flatnonzero(np.append(False, same) | np.append(same, False))
-            if not len(keep):
-                continue
-            shingle, n, hi, lo, place = (x[keep] for x in (shingle, n, hi, lo, place))
-            pivot = np.full(len(shingle), -1)
+            key, n, hi, lo, star = (x[keep] for x in (key, n, hi, lo, star))
+            pivot = np.full(len(key), -1)
             now = -1
-            for i in np.flatnonzero(place < PIVOTS):
-                if now < 0 or shingle[now] != shingle[i] or 100 * n[now] < percent * n[i]:
+            for i in np.flatnonzero(star):
+                if now < 0 or key[now] != key[i] or 100 * n[now] < percent * n[i]:
                     now = i
                 else:
                     pivot[i] = now
             has = pivot >= 0
-            gone = lambda x: pa.array(np.where(has, x[np.maximum(pivot, 0)], 0), mask=~has)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, n, hi, lo)] + [gone(n), gone(hi), gone(lo)], names=names)
+            out = has | ~star
+            if out.any():
+                gone = lambda x: pa.array(np.where(has, x[np.maximum(pivot, 0)], 0)[out], mask=~has[out])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, n, hi, lo)] + [gone(n), gone(hi), gone(lo)], names=names)
 
     parts = max(8, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "hi", "lo").mapInArrow(run, schema)
+    return postings.repartition(parts, "key").sortWithinPartitions("key", "n", "hi", "lo").mapInArrow(run, schema)
 
 
 PAIR = ["a_n", "a_hi", "a_lo", "b_n", "b_hi", "b_lo"]
@@ -259,7 +301,22 @@ def _product(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
     least = lambda n: F.floor((F.lit(percent) * n + 99) / 100)
     a, b = F.col("a_n"), F.col("b_n")
     asked = F.ceil(F.lit(percent) * (a + b) / (100 + percent))
-    return counts.filter(F.col("overlap") + F.greatest(least(a), least(b)) - 1 >= asked).select(*PAIR)
+    return counts.filter(F.col("overlap") + F.greatest(least(a), least(b)) - 1 >= asked)
+
+
+def _best(pairs: DataFrame, k: int = 8) -> DataFrame:
+    """Of each set's pairs the k with the largest overlap for its sizes, ties by hash: random partners connect a dense group at once."""
+    ends = F.explode(F.array(F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")), F.struct(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))))
+    each = pairs.select("overlap", *PAIR, ends.alias("end"))
+    order = W.partitionBy("end").orderBy(F.desc(F.col("overlap") / (F.col("a_n") + F.col("b_n"))), F.xxhash64(*PAIR))
+    return each.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).select(*PAIR).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose sets aren't connected yet; labels (hi, lo, c) of the sets that are linked at all."""
+    side = lambda s: labels.select(F.col("hi").alias(f"{s}_hi"), F.col("lo").alias(f"{s}_lo"), F.col("c").alias(f"{s}_c"))
+    both = pairs.join(side("a"), ["a_hi", "a_lo"], "left").join(side("b"), ["b_hi", "b_lo"], "left")
+    return both.filter(F.col("a_c").isNull() | F.col("b_c").isNull() | (F.col("a_c") != F.col("b_c"))).select(*PAIR)
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -344,10 +401,14 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     have empty sets and link with nothing: their component is their own id. Rows that are repeated
     are one row of the matrix; null ids count as larger than all others.
     """
-    sets, counts = _sets(docs, size)
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    both = _sets(docs, size, parts_for(total, RANGE_CHARS, 16))
+    sets = materialise(both.filter("n is not null").select("doc_id", "n", "hi", "lo"), "ngram-keys")
     n_docs = sets.count()
+    common = _common(both.filter("n is null").select("range", "first", "gaps"), n_docs)
+    drop_scratch(both)
     classes = materialise(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first")), "ngram-classes")
-    postings = _prefixes(docs, _common(counts, n_docs), size, percent)
+    postings = _prefixes(docs, common, size, percent)
     shared = materialise(_shared(postings, percent), "ngram-shared")
     star = shared.filter("pivot_n is not null").select(
         F.col("pivot_n").alias("a_n"), F.col("pivot_hi").alias("a_hi"), F.col("pivot_lo").alias("a_lo"), F.col("n").alias("b_n"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo")
@@ -355,9 +416,14 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     first = materialise(_verify(docs, classes, star.distinct(), size, percent), "ngram-links")
     so_far = components(first, classes).select("hi", "lo", F.xxhash64("root").alias("c"))
     # a set that isn't linked yet is its own component
-    rows = shared.select("shingle", "n", "hi", "lo").join(so_far, ["hi", "lo"], "left").withColumn("c", F.coalesce("c", F.xxhash64("hi", "lo")))
-    rest = materialise(_product(rows, percent), "ngram-pairs")
-    links = first.union(materialise(_verify(docs, classes, rest, size, percent), "ngram-links"))
+    rows = shared.filter("pivot_n is null").select("shingle", "n", "hi", "lo").join(so_far, ["hi", "lo"], "left").withColumn("c", F.coalesce("c", F.xxhash64("hi", "lo")))
+    pairs = materialise(_product(rows, percent), "ngram-pairs")
+    # the most promising pairs of every set first: what that connects needs no more pairs
+    best = materialise(_best(pairs), "ngram-best")
+    links = first.union(materialise(_verify(docs, classes, best, size, percent), "ngram-links"))
+    so_far = components(links, classes).select("hi", "lo", F.xxhash64("root").alias("c"))
+    rest = materialise(_apart(pairs.drop("overlap").join(best, PAIR, "left_anti"), so_far), "ngram-rest")
+    links = links.union(materialise(_verify(docs, classes, rest, size, percent), "ngram-links"))
     roots = components(links, classes).select("hi", "lo", F.col("root.first").alias("root"))
     known = classes.join(roots, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("root", "first").alias("root"))
     joined = sets.join(known, ["hi", "lo"], "left")

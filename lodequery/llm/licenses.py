@@ -106,16 +106,23 @@ def band_keys(shingles: Column) -> Column:
 
 
 def windows(words: DataFrame, found: list[Template]) -> DataFrame:
-    """(_row, width, step, grams): the windows of every class that hold any template's shingle, from (_row, words)."""
-    kinds = sorted({(t.width, t.size_class) for t in found})
-    table = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("step")) for w, s in kinds])
-    placed = words.withColumn("kind", F.explode(table)).select("__license_row", "words", "kind.width", "kind.step")
-    last = F.size("words") - F.col("width")  # the last shingle's place
-    starts = placed.filter(last >= 0).select("__license_row", "words", "width", "step", F.explode(F.sequence(F.lit(0), last, F.col("step"))).alias("at"))
+    """(row, width, step, grams): the windows of every class that hold any template's shingle, from (row, words).
+
+    The shingles that any template has are found first, so that only windows around them are built.
+    """
+    kinds = []
+    for width, step in sorted({(t.width, t.size_class) for t in found}):
+        known = sorted({s for t in found if t.width == width for s in t.shingles})
+        gram = lambda i: F.array_join(F.slice("words", i + 1, width), " ")  # noqa: B023, E731
+        hits = F.filter(F.sequence(F.lit(0), F.size("words") - width), lambda i: gram(i).isin(known))  # noqa: B023
+        hits = F.when(F.size("words") >= width, hits).otherwise(F.array().cast("array<int>"))
+        kinds.append(F.struct(F.lit(width).alias("width"), F.lit(step).alias("step"), hits.alias("hits")))
+    placed = words.select("__license_row", "words", F.explode(F.array(*kinds)).alias("kind")).select("__license_row", "words", "kind.*").filter(F.size("hits") > 0)
+    at = F.flatten(F.transform("hits", lambda h: F.array(F.floor(h / F.col("step")), F.floor(h / F.col("step")) - 1)))
+    starts = placed.withColumn("at", F.explode(F.array_distinct(F.filter(at, lambda w: w >= 0)))).withColumn("at", (F.col("at") * F.col("step")).cast("int"))
     end = F.least(F.size("words") - F.col("width"), F.col("at") + 2 * F.col("step") - 1)
-    grams = F.transform(F.sequence(F.col("at"), end), lambda i: F.array_join(F.slice("words", i + 1, F.col("width")), " "))
-    known = F.array(*[F.lit(s) for s in sorted({s for t in found for s in t.shingles})])
-    return starts.select("__license_row", "width", "step", grams.alias("grams")).filter(F.arrays_overlap("grams", known))
+    grams = F.transform(F.sequence("at", end), lambda i: F.array_join(F.slice("words", i + 1, F.col("width")), " "))
+    return starts.select("__license_row", "width", "step", grams.alias("grams"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

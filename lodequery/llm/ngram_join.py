@@ -31,13 +31,13 @@ from .simhash import scramble
 SIZE = 4
 PERCENT = 85
 #: An n-gram in at least this share of the documents (and in LEAST_COMMON) counts as common: at most mean set size / share are.
-COMMON_SHARE = 1 / 4000
+COMMON_SHARE = 1 / 16000
 LEAST_COMMON = 32
 #: N-grams that a task gathers before it reports them, and code points of text whose n-grams one task counts.
 CHUNK = 1_500_000
 RANGE_CHARS = 24_000_000
 #: Salts of the min-hash pairs that tie a document to a pivot.
-SALTS = (0x0, 0x5BD1E995A7C15D3B)
+SALTS = tuple(k * 0x5BD1E995A7C15D3B & (1 << 64) - 1 for k in range(8))
 #: Words of the fixed-size bitmap that thins the table read for verification.
 BITMAP = 1 << 17
 REMEMBERED = 300_000
@@ -160,18 +160,21 @@ def _common(chunks: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def star_keys(hashes: np.ndarray) -> np.ndarray:
-    """Four keys of a set, each of two of its n-grams: the least and the greatest two under two orders.
+    """Keys of a set, each of two of its n-grams: the least and the greatest two under each salted order.
 
-    Sets of likeness J agree on a key with probability near J squared, so near copies meet their
-    pivot in one of four almost surely, while sets that share only a passage seldom do.
+    Sets of likeness J agree on a key with probability near J squared, so near copies meet several
+    pivots, while sets that share only a passage seldom meet any.
     """
     out = []
     for salt in SALTS:
-        order = np.sort(scramble(hashes ^ np.uint64(salt))) if salt else hashes
-        for k, (x, y) in enumerate(((order[0], order[min(1, len(order) - 1)]), (order[-1], order[max(-2, -len(order))]))):
-            pair = np.array([x, y, salt + k + 1], np.uint64)
-            out.append(scramble(scramble(pair[:1]) * np.uint64(3) + scramble(pair[1:2]) + pair[2:])[0])
-    return np.array(out, np.uint64)
+        order = scramble(hashes ^ np.uint64(salt))
+        if len(order) > 4:
+            order = np.partition(order, (0, 1, len(order) - 2, len(order) - 1))
+        else:
+            order = np.sort(order)
+        out += [order[0], order[min(1, len(order) - 1)], order[-1], order[max(-2, -len(order))]]
+    pairs = np.array(out, np.uint64).reshape(-1, 2)
+    return scramble(scramble(pairs[:, 0]) * np.uint64(3) + scramble(pairs[:, 1]) + np.arange(1, len(pairs) + 1, dtype=np.uint64))
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """events as a stream of files."""
+    """events as a stream of files: a folder's, or the one file of that name, which the stream reader takes as a pattern only."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def unique(events: DataFrame, late: str = "10 minutes") -> DataFrame:

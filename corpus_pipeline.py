@@ -13,6 +13,10 @@ from lodequery.llm import mixing, ngram_join, packing, secrets, toxicity
 from lodequery.llm.common import materialise, table
 
 
+#: Near copies of a corpus: sets of five-word shingles at least 80 % alike. The contract of op6_ngram_join (4 words, 85 %) binds only that query.
+COPY_WORDS, COPY_PERCENT = 5, 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, trained on all documents' labels, doesn't reject. Null and empty texts stay."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id stays. Null and empty texts are no group."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, size=COPY_WORDS, percent=COPY_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

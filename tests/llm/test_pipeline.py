@@ -40,3 +40,11 @@ def test_empty(spark, none, labels, tmp_path):
     none.write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_copies_with_a_passage_appended_go(spark, odd):
+    """196 five-word shingles against 241 are 0.81 alike, against 256 they are 0.77; both are below 0.85 with four words."""
+    base = " ".join(f"b{i}" for i in range(200))
+    rows = [(500, base), (501, base + "".join(f" c{i}" for i in range(45))), (502, base + "".join(f" d{i}" for i in range(60)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], odd.schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [500, 502]

@@ -377,6 +377,26 @@ def test_every_id_is_scored_once_and_probabilities_sum_to_one():
     assert many[1] == pytest.approx(alone[0], rel=1e-5)
 
 
+def test_fit_reads_every_training_text(spark, odd):
+    """Long texts count and are learned from, and more text means more steps' windows."""
+    long = " ".join(f"word{i % 50}" for i in range(4000))
+    texts = {i: long if i == 0 else f"short text {i}" for i in range(900)}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], odd.schema)
+    model = lm.fit(docs, steps=2)
+    tok = packing.bpe(lm.TOKENIZER)
+    end = tok.special["<|endoftext|>"]
+    counts = np.zeros(tok.size)
+    counts[end] = 1
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != lm.HELD_OUT:
+            np.add.at(counts, np.append(tok.encode(t), end), 1)
+    classes, within = lm.make_classes(counts, lm._spaced(tok))
+    assert (model.classes == classes).all() and np.allclose(model.within, within, atol=1e-5)
+    fresh = lm.untrained(tok.size, end, counts, lm._spaced(tok))
+    moved = (model.embed != fresh.embed).any(1)
+    assert moved[tok.encode(long)[1:]].all()
+
+
 def test_gradients():
     model, _ = tiny_model()
     for k in model.PARTS:

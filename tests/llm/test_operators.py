@@ -377,6 +377,27 @@ def test_every_id_is_scored_once_and_probabilities_sum_to_one():
     assert many[1] == pytest.approx(alone[0], rel=1e-5)
 
 
+def test_windows_keep_their_context_and_match_a_loop():
+    assert (lm.WINDOW, lm.OVERLAP, lm.WIDTH) == (64, 16, 24)
+    m, _ = tiny_model()
+    scorer, rng = lm.Scorer(m, window_batch=3), np.random.default_rng(4)
+    texts = [rng.integers(0, 100, n) for n in (0, 1, 30, 63, 64, 100, 500)]
+
+    def one(ids):
+        whole, out = np.concatenate([[99], ids, [99]]).astype(int), 0.0
+        for start, first in scorer.windows(len(whole) - 1):
+            for p in range(start + first, min(start + 64, len(whole) - 1)):
+                x = m.embed[whole[start : p + 1]].astype(float)
+                a = x @ m.key @ (x[-1] @ m.query) / math.sqrt(24) + m.back[p - start - np.arange(p - start + 1)]
+                a = np.exp(a - a.max())
+                h = np.tanh(x[-1] @ m.own + (a / a.sum()) @ (x @ m.value) @ m.seen + m.shift)
+                z = h @ m.out + m.out_shift
+                out += z[m.classes[whole[p + 1]]] - np.log(np.exp(z).sum()) + m.within[whole[p + 1]]
+        return out
+
+    assert scorer(texts) == pytest.approx([one(t) for t in texts], rel=1e-4)
+
+
 def test_fit_reads_every_training_text(spark, odd):
     """Long texts count and are learned from, and more text means more steps' windows."""
     long = " ".join(f"word{i % 50}" for i in range(4000))

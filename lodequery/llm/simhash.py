@@ -2,9 +2,9 @@
 
 A text's terms are its words and its pairs of neighbouring words. Each term's 128-bit hash votes
 for every bit with the term's weight, 1 + ln(count), up for a set bit and down for a clear one;
-the signs of the sums are the fingerprint. The search cuts fingerprints into blocks: two that
-differ in at most `radius` bits agree on at least blocks - radius whole blocks, so one table for
-each such choice of blocks, keyed by them, holds every answer.
+the signs of the sums are the fingerprint. The search cuts fingerprints into blocks, each the key
+of a table: two that differ in at most `radius` bits differ in at most radius // blocks bits of
+some block, so a query that looks up all keys so close to its own in every table finds every answer.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import parts_for, text_of
 
 BITS = 128
-RADIUS = 3
-BLOCKS = 5
+#: The largest distance of two documents whose sets of five-word shingles are 80 % alike or more, by brute force over those pairs in the sf0.1 documents.
+RADIUS = 17
+BLOCKS = 9
 REMEMBERED = 300_000
 #: Code points in a bucket of neighbouring ids.
 BUCKET_CHARS = 16_000_000
@@ -152,21 +154,23 @@ def halves(fingerprint: Column) -> tuple[Column, Column]:
     return signed(F.substring(fingerprint, 1, 16)), signed(F.substring(fingerprint, 17, 16))
 
 
-def block_keys(high: Column, low: Column, blocks: int, radius: int) -> Column:
-    """array<struct<table, key>>: the fingerprint's key in each of the permuted block tables."""
+def block_keys(high: Column, low: Column, blocks: int, tolerance: int = 0) -> Column:
+    """array<struct<table, key>>: in each block's table all keys at most `tolerance` bits from the fingerprint's own."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
-    pieces = []
-    for a, b in zip(edges, edges[1:]):
+    keys = []
+    for t, (a, b) in enumerate(zip(edges, edges[1:])):
         mask = lambda n: F.lit((1 << n) - 1 if n < 64 else -1).cast("long")
         if b <= 64:
-            pieces.append(F.shiftrightunsigned(high, 64 - b).bitwiseAND(mask(b - a)))
+            own = F.shiftrightunsigned(high, 64 - b).bitwiseAND(mask(b - a))
         elif a >= 64:
-            pieces.append(F.shiftrightunsigned(low, 128 - b).bitwiseAND(mask(b - a)))
+            own = F.shiftrightunsigned(low, 128 - b).bitwiseAND(mask(b - a))
         else:
             upper = high.bitwiseAND(mask(64 - a))
-            pieces.append(F.shiftleft(upper, b - 64).bitwiseOR(F.shiftrightunsigned(low, 128 - b).bitwiseAND(mask(b - 64))))
-    chosen = combinations(range(blocks), blocks - radius)
-    return F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(*[pieces[k] for k in c]).alias("key")) for t, c in enumerate(chosen)])
+            own = F.shiftleft(upper, b - 64).bitwiseOR(F.shiftrightunsigned(low, 128 - b).bitwiseAND(mask(b - 64)))
+        flips = [sum(1 << k for k in c) for n in range(tolerance + 1) for c in combinations(range(b - a), n)]
+        flipped = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, own=own: own.bitwiseXOR(x))
+        keys.append(F.transform(flipped, lambda k, t=t: F.struct(F.lit(t).alias("table"), k.alias("key"))))
+    return F.flatten(F.array(*keys))
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -175,17 +179,20 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, b
     Both tables have a hexadecimal `fingerprint`; null ones find nothing. Copies are one
     fingerprint each, so no group of copies is expanded; whoever needs documents joins these back.
     """
-    if not 0 <= radius < blocks:
-        raise ValueError("the radius must be less than the number of blocks")
+    if radius < 0 or not 3 <= blocks <= BITS:
+        raise ValueError("the radius must not be negative, and there must be 3 to 128 blocks")
+    tolerance = radius // blocks
+    if sum(comb(-(-BITS // blocks), n) for n in range(tolerance + 1)) > 10_000:
+        raise ValueError("too many keys a table: take more blocks")
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def keyed(df: DataFrame, name: str, tolerance: int) -> DataFrame:
         high, low = halves(F.col("fingerprint"))
         one = df.filter("fingerprint is not null").select("fingerprint").distinct().select(F.col("fingerprint").alias(name), high.alias(f"{name}_high"), low.alias(f"{name}_low"))
-        keys = block_keys(F.col(f"{name}_high"), F.col(f"{name}_low"), blocks, radius)
+        keys = block_keys(F.col(f"{name}_high"), F.col(f"{name}_low"), blocks, tolerance)
         return one.withColumn("k", F.explode(keys)).select(name, f"{name}_high", f"{name}_low", "k.table", "k.key")
 
     distance = F.bit_count(F.col("query_high").bitwiseXOR(F.col("fingerprint_high"))) + F.bit_count(F.col("query_low").bitwiseXOR(F.col("fingerprint_low")))
-    found = keyed(queries, "query").join(keyed(prints, "fingerprint"), ["table", "key"]).select("query", "fingerprint", distance.cast("int").alias("distance"))
+    found = keyed(queries, "query", tolerance).join(keyed(prints, "fingerprint", 0), ["table", "key"]).select("query", "fingerprint", distance.cast("int").alias("distance"))
     return found.filter(F.col("distance") <= radius).distinct()
 
 

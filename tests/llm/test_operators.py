@@ -185,6 +185,23 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == want
 
 
+def test_near_copies_of_four_fifths_are_counted(spark, odd):
+    rng, rows = np.random.default_rng(6), []
+    for i in range(10):
+        text = [f"a{i}_{k}" for k in range(200)]
+        rows.append((20 * (i + 1), " ".join(text)))
+        for k in (20, 70, 120, 170):  # four words apart: 20 of 196 shingles differ, a likeness of 0.81
+            text[k] = f"b{i}_{int(rng.integers(99))}"
+        rows.append((20 * (i + 1) + 1, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], odd.schema)
+    got = {r.doc_id: r.n_near for r in simhash.report(docs).collect() if r.doc_id % 20 == 0}
+    assert len(got) == 10 and sum(n == 2 for n in got.values()) >= 9
+    prints = simhash.fingerprints(docs).select("fingerprint")
+    values = sorted({int(r[0], 16) for r in prints.collect()})
+    pairs = {(f"{a:032x}", f"{b:032x}") for a in values for b in values if (a ^ b).bit_count() <= simhash.RADIUS}
+    assert {(r["query"], r["fingerprint"]) for r in rows_of(simhash.within_radius(prints, prints))} == pairs
+
+
 # 5
 
 

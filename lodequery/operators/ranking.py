@@ -38,25 +38,27 @@ def _local_top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -scores[places]))][:k]
 
 
-def exact_top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK, unit_queries: bool = True) -> DataFrame:
+def exact_top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK, unit_queries: bool = True, apart: str | None = None) -> DataFrame:
     """Cosine top-k of every query (id, embedding) over the whole gallery (id, embedding); with unit_queries off, the queries keep their length.
 
     The queries are a stated set and go block by block; each block is multiplied with every
     partition of the gallery, which reports its own k best, so what is shuffled is k rows for each
     query and partition and never a row for each pair. Vectors that are null, empty, zero or not
-    finite match nothing; k beyond the gallery returns all of it.
+    finite match nothing; k beyond the gallery returns all of it. With `apart`, a column of both
+    tables, candidates with the query's value in it are left out, and rows where it is null match nothing.
     """
     results, rows = [], []
+    extra = [apart] if apart else []
 
     def score(rows: list) -> DataFrame:
         ids = np.array([r[0] for r in rows], np.int64)
         matrix = np.array([r[1] for r in rows], float)
         if unit_queries:
             matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = gallery.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = gallery.sparkSession.sparkContext.broadcast((ids, matrix, [r[2] for r in rows] if apart else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, queries_ = shared.value
+            query_ids, queries_, groups = shared.value
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0)) for _ in query_ids]
             for batch in batches:
                 if not batch.num_rows:
@@ -66,8 +68,11 @@ def exact_top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bo
                 flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(candidates), -1)
                 flat /= np.linalg.norm(flat, axis=1, keepdims=True)
                 product = np.round(queries_ @ flat.T, 6)
+                theirs = batch.column(2).to_numpy(zero_copy_only=False) if apart else None
                 for i, q in enumerate(query_ids):
-                    take = candidates != q if exclude_self else slice(None)
+                    take = candidates != q if exclude_self else np.ones(len(candidates), bool)
+                    if apart:
+                        take &= theirs != groups[i]
                     names, values = np.concatenate([best[i][0], candidates[take]]), np.concatenate([best[i][1], product[i][take]])
                     top = _local_top(names, values, k)
                     best[i] = (names[top], values[top])
@@ -75,9 +80,9 @@ def exact_top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bo
                 columns = [np.repeat(query_ids, [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "candidate_id", "score"])
 
-        return usable(gallery).mapInArrow(run, "query_id long, candidate_id long, score double")
+        return usable(gallery, *extra).mapInArrow(run, "query_id long, candidate_id long, score double")
 
-    for row in usable(queries).toLocalIterator():
+    for row in usable(queries, *extra).toLocalIterator():
         rows.append(row)
         if len(rows) == block:
             results.append(score(rows))
@@ -90,10 +95,11 @@ def exact_top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bo
     return rank_within(every, k=k)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def usable(vectors: DataFrame, *extra: str) -> DataFrame:
     from ..functions.vectors import well_formed
 
-    return vectors.select(F.col("id").cast("long").alias("id"), "embedding").filter("id is not null").filter(well_formed(F.col("embedding")))
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "embedding", *extra).filter("id is not null").filter(well_formed(F.col("embedding")))
+    return rows.dropna(subset=list(extra)) if extra else rows
 
 
 def scored_pairs(pairs: DataFrame, score: Column) -> DataFrame:

@@ -140,6 +140,15 @@ def test_hard_negatives_skip_the_forbidden(spark):
     assert [r.candidate_id for r in got] == [3, 4]
 
 
+def test_negatives_of_many_labels(spark, tmp_path):
+    from lodequery.plans import vector_queries
+
+    rows = [(i, i // 2, [math.cos(i / 999), math.sin(i / 999)]) for i in range(2400)]  # 1,200 labels
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = vector_queries.hard_negative_pool(spark, str(tmp_path)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.floor(F.col("query_id") / 2) == F.floor(F.col("candidate_id") / 2)).alias("own")).collect()
+    assert sorted(r.query_id for r in got) == list(range(0, 2400, 10)) and {(r.n, r.own) for r in got} == {(20, 0)}
+
+
 def test_numbering_is_global(spark):
     df = spark.createDataFrame([(float(x % 50), x) for x in range(500)], "k double, id long").repartition(7)
     got = numbered(df, "k", "id").orderBy("place").collect()

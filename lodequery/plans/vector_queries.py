@@ -305,7 +305,7 @@ def ann_fidelity(spark, sf):
 def kmeans_ivf_topk(spark, sf):
     v = vectors(spark, sf)
     placed, cells = ranking.kmeans_index(v)
-    return ranking.cell_top_k(placed, asked(placed), cells, K, 12)
+    return ranking.cell_top_k(placed, asked(placed), cells, K, ranking.probes_for(cells.count()))
 
 
 @query()

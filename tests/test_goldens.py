@@ -133,6 +133,15 @@ def test_approximate_search_recalls(spark):
     assert ranking.fidelity(exact, ranking.sign_top_k(v, q, 10)).first().fidelity_at_10 >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["kmeans_ivf_topk", "lsh_ann_topk"])
+def test_index_queries_recall_on_their_table(spark, name, size):
+    from lodequery.plans import vector_queries
+
+    sf = f"/root/testdata/{size}"
+    assert ranking.fidelity(vector_queries.system_a(spark, sf), getattr(vector_queries, name)(spark, sf)).first().fidelity_at_10 >= 0.9
+
+
 def test_hard_negatives_skip_the_forbidden(spark):
     v = spark.createDataFrame([(i, [math.cos(i / 9), math.sin(i / 9)]) for i in range(10)], "id long, embedding array<float>")
     bad = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "query_id long, candidate_id long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise, parts_for, text_of
+from .common import WORD, drop_scratch, materialise, parts_for, text_of
 from .simhash import scramble
 
 SIZE = 4
@@ -84,17 +84,18 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    """(doc_id, text, mark): mark, a hash of the text, tells rows apart whose ids are null or repeated."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("mark"))
 
 
 def _sets(docs: DataFrame, size: int, ranges: int) -> DataFrame:
-    """Rows (doc_id, n, hi, lo) of all documents and, with null n, rows (range, first, gaps): the n-grams of a chunk's distinct sets.
+    """Rows (doc_id, mark, n, hi, lo) of all documents and, with null n, rows (range, first, gaps): the n-grams of a chunk's distinct sets.
 
     Of an n-gram's hash the upper 32 bits are kept, sorted within ranges of values and written as
     the gaps between them, 2 bytes each where the chunk is large.
     """
-    schema = "doc_id long, n long, hi long, lo long, range int, first long, gaps binary"
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
+    schema = "doc_id long, mark long, n long, hi long, lo long, range int, first long, gaps binary"
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def _sets(docs: DataFrame, size: int, ranges: int) -> DataFrame:
                 first.append(int(part[0]))
                 gaps.append(b"2" + gap.astype(np.uint16).tobytes() if not len(gap) or gap.max() < 1 << 16 else b"4" + gap.astype(np.uint32).tobytes())
             gone = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.array(at, kinds[4]), pa.array(first, kinds[5]), pa.array(gaps, kinds[6])], names=names)
+            return pa.RecordBatch.from_arrays([gone, gone, gone, gone, gone, pa.array(at, kinds[5]), pa.array(first, kinds[6]), pa.array(gaps, kinds[7])], names=names)
 
         for batch in batches:
             out = []
@@ -129,8 +130,8 @@ def _sets(docs: DataFrame, size: int, ranges: int) -> DataFrame:
                     yield held()
                     total = 0
             if out:
-                gone = [pa.nulls(len(out), k) for k in kinds[4:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=False)), *gone], names=names)
+                gone = [pa.nulls(len(out), k) for k in kinds[5:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=False)), *gone], names=names)
         if chunk:
             yield held()
 
@@ -323,35 +324,35 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets link. Only documents that stand for a set in a pair are read beyond their id.
+    """The pairs whose whole sets link. Only documents that stand for a set in a pair are read beyond their id, or of those without an id the text's hash.
 
     A bitmap of fixed size thins the documents first; rows that pass it by chance go at the join.
     """
     spark = docs.sparkSession
     ends = pairs.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).union(pairs.select("b_hi", "b_lo")).distinct()
-    stand = classes.join(ends, ["hi", "lo"]).select("hi", "lo", F.col("first").alias("doc_id"))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP * 64))
+    stand = classes.join(ends, ["hi", "lo"]).select("hi", "lo", F.coalesce("first", "mark").alias("key"))
+    slot = F.pmod(F.xxhash64("key"), F.lit(BITMAP * 64))
     word = F.floor(slot / 64).cast("long")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITMAP * 64}) % 64 as int))")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {BITMAP * 64}) % 64 as int))")
     bitmap = stand.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))  # at most BITMAP rows
-    rows = _rows(docs)
-    thin = rows.join(F.broadcast(bitmap), word == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+    rows = _rows(docs).withColumn("key", F.coalesce("doc_id", "mark"))
+    thin = rows.join(F.broadcast(bitmap), word == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0).select("key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(size)
         for batch in batches:
             ids, hi, lo, raw = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row_key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = make(text.as_py())
                 if len(hashes):
                     key = set_key(hashes)
-                    ids.append(doc_id)
+                    ids.append(row_key)
                     hi.append(key[0])
                     lo.append(key[1])
                     raw.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "hi", "lo", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(raw, pa.binary())], names=["key", "hi", "lo", "hashes"])
 
-    found = thin.mapInArrow(sets, "doc_id long, hi long, lo long, hashes binary").join(stand, ["doc_id", "hi", "lo"], "left_semi")
+    found = thin.mapInArrow(sets, "key long, hi long, lo long, hashes binary").join(stand, ["key", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"])
     a = found.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("hashes").alias("a"))
     b = found.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("hashes").alias("b"))
     joined = pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).select("a_hi", "a_lo", "b_hi", "b_lo", "a", "b")
@@ -397,20 +398,15 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("u.hi", "u.lo", F.col("v").alias("root")).union(edges.select(F.col("v.hi"), F.col("v.lo"), F.col("v").alias("root")).distinct())
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
-
-    Two documents link when 100 * overlap >= percent * union of their sets. Null and empty texts
-    have empty sets and link with nothing: their component is their own id. Rows that are repeated
-    are one row of the matrix; null ids count as larger than all others.
-    """
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n, root) of every document; root tells components apart, also those without any id, and is null for empty sets."""
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     both = _sets(docs, size, parts_for(total, RANGE_CHARS, 16))
-    sets = materialise(both.filter("n is not null").select("doc_id", "n", "hi", "lo"), "ngram-keys")
+    sets = materialise(both.filter("n is not null").select("doc_id", "mark", "n", "hi", "lo"), "ngram-keys")
     n_docs = sets.count()
     common = _common(both.filter("n is null").select("range", "first", "gaps"), n_docs)
     drop_scratch(both)
-    classes = materialise(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first")), "ngram-classes")
+    classes = materialise(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark")), "ngram-classes")
     postings = _prefixes(docs, common, size, percent)
     shared = materialise(_shared(postings, percent), "ngram-shared")
     star = shared.filter("pivot_n is not null").select(
@@ -427,18 +423,32 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     so_far = components(links, classes).select("hi", "lo", F.xxhash64("root").alias("c"))
     rest = materialise(_apart(pairs.drop("overlap").join(best, PAIR, "left_anti"), so_far), "ngram-rest")
     links = links.union(materialise(_verify(docs, classes, rest, size, percent), "ngram-links"))
-    roots = components(links, classes).select("hi", "lo", F.col("root.first").alias("root"))
-    known = classes.join(roots, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("root", "first").alias("root"))
-    joined = sets.join(known, ["hi", "lo"], "left")
-    component = F.nullif(F.coalesce("root", "doc_id"), F.lit(2**63 - 1))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    roots = components(links, classes)
+    own = F.struct(F.coalesce("first", F.lit(2**63 - 1)).alias("first"), "hi", "lo")
+    known = classes.join(roots, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("root", own).alias("root"))
+    return sets.join(known, ["hi", "lo"], "left").select("doc_id", "mark", "n", "root")
 
 
-def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the smallest id, with its own columns; one of rows that share that id."""
-    columns = docs.columns
-    chosen = join(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document.
+
+    Two documents link when 100 * overlap >= percent * union of their sets. Null and empty texts
+    have empty sets and link with nothing: their component is their own id. Rows that are repeated
+    are one row of the matrix; null ids count as larger than all others.
+    """
+    component = F.nullif(F.coalesce("root.first", "doc_id"), F.lit(2**63 - 1))
+    return _joined(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
 
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that with the smallest id and then hash of its text, with its own columns.
 
+    Rows without words link with nothing, so all of them stay. Rows that share their id, or have none, but not their component stay too.
+    """
+    columns = docs.columns
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "mark")).alias("least")
+    chosen = _joined(docs, size, percent).filter("n > 0").groupBy("root").agg(least).select(F.col("least.id").alias("_id"), F.col("least.mark").alias("_mark"))
+    words = text_of().rlike(WORD)
+    named = docs.filter(words).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_mark", F.xxhash64(text_of()))
+    kept = named.join(chosen, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"])
+    return kept.select(*columns).unionByName(docs.filter(~words).select(*columns))

@@ -280,6 +280,19 @@ def test_ngram_join_matches_all_pairs(spark, odd, none):
     assert ngram_join.join(none).count() == 0
 
 
+def test_rows_without_an_id_of_their_own(spark, odd):
+    base = [f"g{i}" for i in range(100)]
+    swap = lambda *at: " ".join("z" + w if k in at else w for k, w in enumerate(base))
+    # 1 and 2 link only through the row without an id: one changed word parts them from it (0.92), two from each other (0.848)
+    rows = [(2, swap(50)), (1, swap(10)), (None, swap())]
+    rows += [(None, f"alone {i} with its own words") for i in range(3)] + [(7, f"same id {i} other text here") for i in range(3)] + [(None, ""), (None, None)]
+    rows += [(8, "twice the same row of words")] * 2
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], odd.schema)
+    assert {r["doc_id"]: r["component_id"] for r in rows_of(ngram_join.join(docs)) if r["doc_id"] in (1, 2)} == {1: 1, 2: 1}
+    kept = [(r["doc_id"], r["text"]) for r in rows_of(ngram_join.one_of_each(docs))]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[1], *rows[3:12]]))
+
+
 # 7
 
 

@@ -86,7 +86,7 @@ class Scorer:
         return float(-np.expm1(calm)), [(*spans[i], float(sigmoid(z[i]))) for i in np.flatnonzero(z >= 0)]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 200, rate: float = 0.3, decay: float = 1e-5, least: int = 5) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 200, rate: float = 0.3, decay: float = 1e-5, least: int = 5, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Full-batch gradient descent on the noisy-or likelihood of the documents' labels.
 
     Features of fewer than `least` documents aren't used; the others are scaled by their inverse
@@ -110,6 +110,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 200, rate: float =
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     at, sentence, doc = np.array(word_at), np.array(word_sentence), np.array(sentence_doc)
     y, n_docs, n_sentences = np.array(labels, float), len(texts), len(sentence_doc)
+    each = np.where(y > 0, weight[1], weight[0])  # of the clean and the toxic: what one document of the sample stands for
     # document frequencies of features, by way of the distinct words of each document
     pairs = np.unique(doc[sentence] * len(ids) + at)
     begins = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
@@ -130,7 +131,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 200, rate: float =
         p = np.clip(-np.expm1(calm), 1e-9, 1.0)
         # d(-log likelihood)/d z: the sentence's own probability times what the label asks of its document
         pull = np.where(y > 0, -(1.0 - p) / p, 1.0)
-        dz = sigmoid(z) * pull[doc] / n_docs
+        dz = sigmoid(z) * pull[doc] * each[doc] / each.sum()
         dword = np.bincount(at, dz[sentence], len(ids))
         gradient = np.append(np.bincount(feature, dword[owner] * value, len(weights)) + decay * weights, dz.sum())
         mean = 0.9 * mean + 0.1 * gradient
@@ -149,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     known = known.filter((F.col("toxic") == F.col("_most")) & (fold(F.col("doc_id")) != 0)).drop("_most")
     # the hash thins the larger class before its texts are read; what is kept is bounded by `sample`
     wanted = []
+    every = {int(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
     for label in (1, 0):
         wanted += known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample).collect()
     truth = {r[0]: int(r[1]) for r in wanted}
@@ -158,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     chosen = F.broadcast(spark.createDataFrame([(k,) for k in truth], "doc_id long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.length("text") <= chars).join(chosen, "doc_id")
     texts = sorted(rows.dropDuplicates(["doc_id"]).limit(2 * sample).collect())
-    return train([r[1] for r in texts], [truth[r[0]] for r in texts])
+    taken = list(truth.values())
+    weight = tuple(every.get(c, 0) / max(1, taken.count(c)) for c in (0, 1))
+    return train([r[1] for r in texts], [truth[r[0]] for r in texts], weight=weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -147,6 +147,15 @@ def test_toxicity_held_out_and_located(spark, odd, none, labels):
     assert toxicity.keep_calm(odd, toxicity.fit(odd, labels.limit(0))).columns == odd.columns
 
 
+def test_a_thinned_class_counts_in_full():
+    """Texts that say nothing of their class: the fitted odds are those of all labels, not of the sample."""
+    texts = [f"plain words of item {i % 10}." for i in range(200)]
+    labels = [i % 20 < 10 for i in range(200)]
+    score = lambda m: toxicity.Scorer(m).text(texts[0])[0]
+    even, full = toxicity.train(texts, labels), toxicity.train(texts, labels, weight=(8.0, 1.0))
+    assert score(full) < 0.3 < score(even)
+
+
 # 4
 
 

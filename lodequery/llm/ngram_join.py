@@ -8,10 +8,14 @@ The product runs in blocks of columns: a block's rows of one n-gram are multipli
 like size, counts are summed by pair, and pairs whose count can't reach what their sizes ask are
 dropped. What is left is verified on whole sets.
 
-Equal sets are one row of the matrix. Large groups of near copies are first joined to pivots with
-which they share a min-hash pair, then to their most promising partners, and pairs that are
-connected already are skipped, so a group of g near copies costs about g verified pairs, not g * g. Nothing is capped: all pairs
-that aren't connected yet are multiplied.
+Equal sets are one row of the matrix. Sets are first compared with pivots with which they share a
+min-hash pair. That links most near copies, and sets that are at least FAMILY percent alike to a
+pivot form families, whose members crowd around the threshold. Within a family the product runs
+in tiles of documents by documents: a task loads two blocks of whole sets, accumulates their
+overlap counts, drops the cells below what the sizes ask, and writes a spanning forest of what is
+left. Blocks of one component aren't multiplied with each other. The product by columns then skips
+pairs of one family, so no table holds the pairs of a group. Nothing is capped: all pairs that
+aren't connected yet are multiplied.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, drop_scratch, materialise, parts_for, text_of
@@ -30,9 +33,14 @@ from .simhash import scramble
 
 SIZE = 4
 PERCENT = 85
-#: An n-gram in at least this share of the documents (and in LEAST_COMMON) counts as common: at most mean set size / share are.
-COMMON_SHARE = 1 / 16000
-LEAST_COMMON = 32
+#: The most common n-grams, at most MOST_COMMON and none of fewer than 2 ** LEAST_COMMON sets, come last in the order of all n-grams.
+LEAST_COMMON = 3
+MOST_COMMON = 4_000_000
+#: Likeness to a pivot that makes a set a member of its family, and the bounds of a block of a family's sets.
+FAMILY = 50
+BLOCK_SETS, BLOCK_NGRAMS = 1024, 2_000_000
+#: Cells and counts that a task multiplies at once.
+CELLS, COUNTS = 4_000_000, 20_000_000
 #: N-grams that a task gathers before it reports them, and code points of text whose n-grams one task counts.
 CHUNK = 1_500_000
 RANGE_CHARS = 24_000_000
@@ -143,8 +151,8 @@ def upper(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _common(chunks: DataFrame, n_docs: int) -> np.ndarray:
-    """The common n-grams, sorted; how many there can be is bounded by the mean set size over COMMON_SHARE."""
+def _common(chunks: DataFrame) -> np.ndarray:
+    """The common n-grams, sorted: all in 2 ** k sets or more, for the least k from LEAST_COMMON on that leaves at most MOST_COMMON."""
 
     def count(table: pa.Table) -> pa.Table:
         parts = []
@@ -153,11 +161,20 @@ def _common(chunks: DataFrame, n_docs: int) -> np.ndarray:
             gap = np.frombuffer(raw[1:], np.uint16 if raw[:1] == b"2" else np.uint32).astype(np.int64)
             parts.append(first + np.concatenate([[0], np.cumsum(gap)]))
         values, n = np.unique(np.concatenate(parts), return_counts=True)
-        often = n >= LEAST_COMMON
-        return pa.table({"value": values[often], "n": n[often].astype(np.int64)})
-
-    found = chunks.groupBy("range").applyInArrow(count, "value long, n long").filter(F.col("n") >= max(LEAST_COMMON, n_docs * COMMON_SHARE)).select("value")
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64)).astype(np.uint32)
+        level = np.log2(n).astype(np.int64)
+        found = [(k, values[level == k].astype(np.uint32)) for k in range(LEAST_COMMON, 64) if (level == k).any()]
+        return pa.table({"level": pa.array([k for k, _ in found], pa.int32()), "n": pa.array([len(v) for _, v in found], pa.int64()), "often": pa.array([v.tobytes() for _, v in found], pa.binary())})
+
+    found = materialise(chunks.groupBy("range").applyInArrow(count, "level int, n long, often binary"), "ngram-common")
+    least, total = 64, 0
+    for level, n in sorted(found.groupBy("level").agg(F.sum("n")).collect(), reverse=True):
+        total += n
+        if total > MOST_COMMON:
+            break
+        least = level
+    packed = found.filter(F.col("level") >= least).select("often").collect()
+    drop_scratch(found)
+    return np.sort(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r[0], np.uint32) for r in packed)]))
 
 
 def star_keys(hashes: np.ndarray) -> np.ndarray:
@@ -263,9 +280,9 @@ PAIR = ["a_n", "a_hi", "a_lo", "b_n", "b_hi", "b_lo"]
 
 
 def _product(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """(pair, overlap): counts of shared columns, of pairs of like size in different components.
+    """(pair, overlap): counts of shared columns, of pairs of like size in different families.
 
-    rows (shingle, n, hi, lo, c): c is the component so far. A block of a column's rows is
+    rows (shingle, n, hi, lo, c): c is the family. A block of a column's rows is
     multiplied with the rows of like size that follow, at most block * block cells at once.
     """
     schema = ", ".join(f"{x} long" for x in PAIR)
@@ -308,28 +325,15 @@ def _product(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
     return counts.filter(F.col("overlap") + F.greatest(least(a), least(b)) - 1 >= asked)
 
 
-def _best(pairs: DataFrame, k: int = 8) -> DataFrame:
-    """Of each set's pairs the k with the largest overlap for its sizes, ties by hash: random partners connect a dense group at once."""
-    ends = F.explode(F.array(F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")), F.struct(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))))
-    each = pairs.select("overlap", *PAIR, ends.alias("end"))
-    order = W.partitionBy("end").orderBy(F.desc(F.col("overlap") / (F.col("a_n") + F.col("b_n"))), F.xxhash64(*PAIR))
-    return each.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).select(*PAIR).distinct()
-
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).union(pairs.select("b_hi", "b_lo")).distinct()
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose sets aren't connected yet; labels (hi, lo, c) of the sets that are linked at all."""
-    side = lambda s: labels.select(F.col("hi").alias(f"{s}_hi"), F.col("lo").alias(f"{s}_lo"), F.col("c").alias(f"{s}_c"))
-    both = pairs.join(side("a"), ["a_hi", "a_lo"], "left").join(side("b"), ["b_hi", "b_lo"], "left")
-    return both.filter(F.col("a_c").isNull() | F.col("b_c").isNull() | (F.col("a_c") != F.col("b_c"))).select(*PAIR)
 
-
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets link. Only documents that stand for a set in a pair are read beyond their id, or of those without an id the text's hash.
+def _loaded(docs: DataFrame, classes: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """(hi, lo, hashes) of the sets in ends. Only documents that stand for such a set are read beyond their id, or of those without an id the text's hash.
 
     A bitmap of fixed size thins the documents first; rows that pass it by chance go at the join.
     """
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).union(pairs.select("b_hi", "b_lo")).distinct()
     stand = classes.join(ends, ["hi", "lo"]).select("hi", "lo", F.coalesce("first", "mark").alias("key"))
     slot = F.pmod(F.xxhash64("key"), F.lit(BITMAP * 64))
     word = F.floor(slot / 64).cast("long")
@@ -352,23 +356,122 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, pe
                     raw.append(hashes.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(raw, pa.binary())], names=["key", "hi", "lo", "hashes"])
 
-    found = thin.mapInArrow(sets, "key long, hi long, lo long, hashes binary").join(stand, ["key", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"])
-    a = found.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("hashes").alias("a"))
-    b = found.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("hashes").alias("b"))
-    joined = pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).select("a_hi", "a_lo", "b_hi", "b_lo", "a", "b")
+    return thin.mapInArrow(sets, "key long, hi long, lo long, hashes binary").join(stand, ["key", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]).select("hi", "lo", "hashes")
+
+
+def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a_hi, a_lo, b_hi, b_lo, links) of the pairs whose whole sets link or are of one family.
+
+    A set that is the first of many pairs is dealt by its partners' hashes, one copy a part.
+    """
+    parts = max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.select("a_hi", "a_lo", "b_hi", "b_lo", F.pmod(F.xxhash64("b_hi", "b_lo"), F.lit(parts)).alias("part"))
+    a = sets.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("hashes").alias("a"))
+    a = dealt.select("a_hi", "a_lo", "part").distinct().join(a, ["a_hi", "a_lo"])
+    b = sets.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("hashes").alias("b"))
+    joined = dealt.join(b, ["b_hi", "b_lo"]).join(a, ["a_hi", "a_lo", "part"]).select("a_hi", "a_lo", "b_hi", "b_lo", "a", "b")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, links = [], []
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 small, large = (p, q) if len(p) <= len(q) else (q, p)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+                links.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(links[-1] or 100 * both >= FAMILY * (len(p) + len(q) - both))
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(links, pa.bool_())], names=["a_hi", "a_lo", "b_hi", "b_lo", "links"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(link, "a_hi long, a_lo long, b_hi long, b_lo long, links boolean")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """The product of two blocks of sets, some rows of left at a time: (first row, overlap counts)."""
+    values = np.concatenate(right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(right)), [len(x) for x in right])[order]
+    most = max(1, CELLS // len(right))
+    i = 0
+    while i < len(left):
+        spans, total, stop = [], 0, i
+        while stop < len(left) and stop - i < most and (stop == i or total < COUNTS):
+            lo, hi = np.searchsorted(values, left[stop], "left"), np.searchsorted(values, left[stop], "right")
+            spans.append((lo, hi - lo))
+            total += int(spans[-1][1].sum())
+            stop += 1
+        counts = np.zeros((stop - i, len(right)), np.int64)
+        for row, (lo, n) in enumerate(spans):
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(lo, n)
+            counts[row] = np.bincount(owner[at], minlength=len(right))
+        yield i, counts
+        i = stop
+
+
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], left_c: np.ndarray, right_c: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, over the components so far, of the links of two blocks of sets."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
 
-    return joined.mapInArrow(link, "a_hi long, a_lo long, b_hi long, b_lo long")
+    out = []
+    a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    for i, counts in overlaps(left, right):
+        size = a[i : i + len(counts), None] + b[None, :]
+        x, y = np.nonzero((counts * (100 + percent) >= percent * size) & (left_c[i : i + len(counts), None] != right_c[None, :]))
+        for p, q in zip((x + i).tolist(), y.tolist(), strict=True):
+            u, v = find(int(left_c[p])), find(int(right_c[q]))
+            if u != v:
+                root[u] = v
+                out.append((p, q))
+    return out
+
+
+def _families(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a_hi, a_lo, b_hi, b_lo): links that connect the components c within each family f; members has (hi, lo, n, c, f).
+
+    A family of more than a block is cut by size class (a class's sets link only with its own
+    and the next), then by whether they are in the family's largest component, then by hash.
+    """
+    salts = 16
+    salted = lambda small: small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    grouped = members.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n_sets"), F.sum("n").alias("n_grams"))
+    family = grouped.groupBy("f").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("n_sets", "c")).alias("main"), F.sum("n_sets").alias("n_sets"), F.sum("n_grams").alias("n_grams"))
+    family = family.filter("parts > 1").withColumn("small", (F.col("n_sets") <= BLOCK_SETS) & (F.col("n_grams") <= BLOCK_NGRAMS)).select("f", "main", "small")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("hi", "lo", F.lit(1)), F.lit(salts)).cast("int"))
+    kind = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
+    split = dealt.join(salted(family), ["f", "salt"])
+    split = split.select("f", "salt", "hi", "lo", "n", "c", F.when(F.col("small"), 0).otherwise(kind).alias("k"), (~F.col("small") & (F.col("c") == F.col("main"))).alias("pure"))
+    split = materialise(split, "ngram-members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_NGRAMS)).cast("int")
+    groups = split.groupBy("f", "k", "pure").agg(blocks.alias("blocks"))
+    groups = groups.groupBy("f").agg(F.collect_list(F.struct("k", "pure", "blocks")).alias("groups"))  # two a size class
+    placed = split.join(salted(groups), ["f", "salt"])
+    own = F.filter("groups", lambda g: (g["k"] == F.col("k")) & (g["pure"] == F.col("pure")))[0]["blocks"]
+    placed = placed.withColumn("own", F.struct("k", "pure", F.pmod(F.xxhash64("hi", "lo"), own).cast("int").alias("block")))
+    near = F.filter("groups", lambda g: (F.abs(g["k"] - F.col("k")) <= 1) & ~(g["pure"] & F.col("pure")))
+    others = F.flatten(F.transform(near, lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda j: F.struct(g["k"].alias("k"), g["pure"].alias("pure"), j.cast("int").alias("block")))))
+    tiles = placed.withColumn("other", F.explode(others))
+    tiles = tiles.select("f", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") == F.col("other")).alias("self"), "c", "hi", "lo")
+    names = ["a_hi", "a_lo", "b_hi", "b_lo"]
+
+    def product(table: pa.Table) -> pa.Table:
+        side, c, hi, lo = (table.column(x).to_numpy() for x in ("side", "c", "hi", "lo"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        rows = [np.flatnonzero(side == k) for k in (0, 1)]
+        if table.column("self")[0].as_py():
+            rows[1] = rows[0]
+        found = tile_links([sets[i] for i in rows[0]], [sets[i] for i in rows[1]], c[rows[0]], c[rows[1]], percent) if len(rows[0]) and len(rows[1]) else []
+        a = rows[0][[p for p, _ in found]] if found else np.empty(0, np.int64)
+        b = rows[1][[q for _, q in found]] if found else np.empty(0, np.int64)
+        return pa.table([hi[a], lo[a], hi[b], lo[b]], names=names)
+
+    return tiles.join(sets, ["hi", "lo"]).groupBy("f", "x", "y").applyInArrow(product, ", ".join(f"{x} long" for x in names))
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -403,26 +506,29 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     both = _sets(docs, size, parts_for(total, RANGE_CHARS, 16))
     sets = materialise(both.filter("n is not null").select("doc_id", "mark", "n", "hi", "lo"), "ngram-keys")
-    n_docs = sets.count()
-    common = _common(both.filter("n is null").select("range", "first", "gaps"), n_docs)
+    common = _common(both.filter("n is null").select("range", "first", "gaps"))
     drop_scratch(both)
-    classes = materialise(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark")), "ngram-classes")
-    postings = _prefixes(docs, common, size, percent)
-    shared = materialise(_shared(postings, percent), "ngram-shared")
+    classes = sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min("mark").alias("mark"))
+    classes = materialise(classes, "ngram-classes")
+    shared = materialise(_shared(_prefixes(docs, common, size, percent), percent), "ngram-shared")
     star = shared.filter("pivot_n is not null").select(
-        F.col("pivot_n").alias("a_n"), F.col("pivot_hi").alias("a_hi"), F.col("pivot_lo").alias("a_lo"), F.col("n").alias("b_n"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo")
+        F.col("pivot_hi").alias("a_hi"), F.col("pivot_lo").alias("a_lo"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo")
     )
-    first = materialise(_verify(docs, classes, star.distinct(), size, percent), "ngram-links")
-    so_far = components(first, classes).select("hi", "lo", F.xxhash64("root").alias("c"))
+    star = materialise(star.distinct(), "ngram-star")
+    whole = materialise(_loaded(docs, classes, _ends(star), size), "ngram-whole")
+    alike = materialise(_verify(whole, star, percent), "ngram-alike")
+    first = alike.filter("links").drop("links")
+    label = lambda edges, name: components(edges, classes).select("hi", "lo", F.xxhash64("root").alias(name))
     # a set that isn't linked yet is its own component
-    rows = shared.filter("pivot_n is null").select("shingle", "n", "hi", "lo").join(so_far, ["hi", "lo"], "left").withColumn("c", F.coalesce("c", F.xxhash64("hi", "lo")))
-    pairs = materialise(_product(rows, percent), "ngram-pairs")
-    # the most promising pairs of every set first: what that connects needs no more pairs
-    best = materialise(_best(pairs), "ngram-best")
-    links = first.union(materialise(_verify(docs, classes, best, size, percent), "ngram-links"))
-    so_far = components(links, classes).select("hi", "lo", F.xxhash64("root").alias("c"))
-    rest = materialise(_apart(pairs.drop("overlap").join(best, PAIR, "left_anti"), so_far), "ngram-rest")
-    links = links.union(materialise(_verify(docs, classes, rest, size, percent), "ngram-links"))
+    family = label(alike.drop("links"), "f").join(label(first, "c"), ["hi", "lo"], "left").withColumn("c", F.coalesce("c", F.xxhash64("hi", "lo")))
+    family = materialise(family, "ngram-families")
+    inside = materialise(_families(family.join(classes.select("hi", "lo", "n"), ["hi", "lo"]), whole, percent), "ngram-inside")
+    rows = shared.filter("pivot_n is null").select("shingle", "n", "hi", "lo").join(family.select("hi", "lo", F.col("f").alias("c")), ["hi", "lo"], "left")
+    pairs = materialise(_product(rows.withColumn("c", F.coalesce("c", F.xxhash64("hi", "lo"))), percent), "ngram-pairs")
+    across = _verify(_loaded(docs, classes, _ends(pairs), size), pairs, percent).filter("links").drop("links")
+    links = materialise(first.union(inside).union(across), "ngram-links")
+    for done in (shared, star, whole, pairs):
+        drop_scratch(done)
     roots = components(links, classes)
     own = F.struct(F.coalesce("first", F.lit(2**63 - 1)).alias("first"), "hi", "lo")
     known = classes.join(roots, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("root", own).alias("root"))

@@ -10,9 +10,10 @@ share of a template has a Jaccard similarity with it of at least
 and BANDS bands of one row collide with probability at least 1 - (1 - least)^BANDS. Templates
 that a window collides with are verified by exact containment of their shingles in it.
 
-Two steps lose nothing and save most work: a text without any template's anchor word holds no
-template shingle, and a window without any template shingle shares no band. The templates are a
-parameter of bounded size; their bands are broadcast.
+One step before loses nothing and saves most work: to hold the asked share of a template a text
+must hold one of any few of its shingles, so texts that lack words of all of these are left out.
+All windows of the other texts get bands, and only what the bands retrieve is verified. The
+templates are a parameter of bounded size; their bands are broadcast.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SHARE = 0.8
 BANDS = 48
 MOST_TEMPLATES = 200
 
-#: Notices that stand for a license, by name.
+#: Notices and whole texts that stand for a license, by name.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -45,6 +46,37 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "0bsd-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-2-clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 
 #: Words are runs of these characters in the lower-cased text (A-Z only), without dots or hyphens at their ends.
@@ -86,51 +118,73 @@ def library(templates: dict[str, str] = TEMPLATES) -> list[Template]:
     return [template(n, t) for n, t in sorted(templates.items())]
 
 
-def anchors(found: list[Template]) -> list[str]:
-    """A few words of which every template's every shingle holds at least one, long words where there are any."""
-    left = {s for t in found for s in t.shingles}
-    out = []
-    while left:
-        words = {w for s in left for w in s.split()}
-        best = max(words, key=lambda w: (min(len(w), 6), sum(w in s.split() for s in left), w))
-        out.append(best)
-        left = {s for s in left if best not in s.split()}
+def need(t: Template) -> int:
+    """The least number of a template's shingles that is the asked share."""
+    return -(-round(SHARE * 100) * len(t.shingles) // 100)
+
+
+def anchors(t: Template) -> list[list[str]]:
+    """Groups of words: a text that holds the asked share of the template holds all words of some group.
+
+    Runs of up to three neighbouring shingles give a group of the words that they share, those
+    with most letters first, until so many shingles have a group that the others are too few.
+    """
+    runs = [t.shingles[i : i + 3] for i in range(0, len(t.shingles), 3)]
+    shared = [(sorted(set.intersection(*(set(x.split()) for x in run)), key=lambda w: (-len(w), w)), len(run)) for run in runs]
+    shared.sort(key=lambda x: (-sum(map(len, x[0])), x[0]))
+    out, covered = [], 0
+    for words, n in shared:
+        if covered > len(t.shingles) - need(t):
+            break
+        out.append(words)
+        covered += n
     return out
 
 
+def holds_anchor(low: Column, found: list[Template]) -> Column:
+    any_of = F.lit(False)
+    for group in sorted({tuple(g) for t in found for g in anchors(t)}):
+        every = F.lit(True)
+        for word in group:
+            every = every & F.contains(low, F.lit(word))
+        any_of = any_of | every
+    return any_of
+
+
 def band_keys(shingles: Column) -> Column:
-    """One key a band: the band's number with the least of its hashes over the shingles."""
-    hashed = F.transform(shingles, lambda s: F.xxhash64(s))
+    """One key a band: the band's number with the least of its hashes over the hashed shingles."""
     seeds = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    return F.transform(seeds, lambda b: F.xxhash64(b, F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, b)))))
+    return F.transform(seeds, lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b)))))
 
 
-def windows(words: DataFrame, found: list[Template]) -> DataFrame:
-    """(row, width, step, grams): the windows of every class that hold any template's shingle, from (row, words).
+def hashed(one: Column, width: int) -> Column:
+    """Hashes of the runs of `width` words, in order, from the words' hashes; none for fewer words."""
+    chained = one
+    for k in range(1, width):
+        n = F.greatest(F.size(one) - k, F.lit(0))
+        chained = F.zip_with(F.slice(chained, F.lit(1), n), F.slice(one, F.lit(k + 1), n), lambda x, y: F.xxhash64(x, y))
+    return chained
 
-    The shingles that any template has are found first, so that only windows around them are built.
-    """
-    kinds = []
-    for width, step in sorted({(t.width, t.size_class) for t in found}):
-        known = sorted({s for t in found if t.width == width for s in t.shingles})
-        gram = lambda i: F.array_join(F.slice("words", i + 1, width), " ")  # noqa: B023, E731
-        hits = F.filter(F.sequence(F.lit(0), F.size("words") - width), lambda i: gram(i).isin(known))  # noqa: B023
-        hits = F.when(F.size("words") >= width, hits).otherwise(F.array().cast("array<int>"))
-        kinds.append(F.struct(F.lit(width).alias("width"), F.lit(step).alias("step"), hits.alias("hits")))
-    placed = words.select("__license_row", "words", F.explode(F.array(*kinds)).alias("kind")).select("__license_row", "words", "kind.*").filter(F.size("hits") > 0)
-    at = F.flatten(F.transform("hits", lambda h: F.array(F.floor(h / F.col("step")), F.floor(h / F.col("step")) - 1)))
-    starts = placed.withColumn("at", F.explode(F.array_distinct(F.filter(at, lambda w: w >= 0)))).withColumn("at", (F.col("at") * F.col("step")).cast("int"))
-    end = F.least(F.size("words") - F.col("width"), F.col("at") + 2 * F.col("step") - 1)
-    grams = F.transform(F.sequence("at", end), lambda i: F.array_join(F.slice("words", i + 1, F.col("width")), " "))
-    return starts.select("__license_row", "width", "step", grams.alias("grams"))
+
+def windows(words: DataFrame, found: list[Template]) -> DataFrame:
+    """(row, width, step, at, grams): all windows of every class, with their shingles' hashes, from (row, words)."""
+    widths = sorted({t.width for t in found})
+    one = words.select("__license_row", F.transform("words", lambda w: F.xxhash64(w)).alias("__one"))
+    every = one.select("__license_row", *[hashed(F.col("__one"), w).alias(f"__h{w}") for w in widths])
+    kinds = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("step"), F.col(f"__h{w}").alias("hashes")) for w, s in sorted({(t.width, t.size_class) for t in found})])
+    placed = every.select("__license_row", F.explode(kinds).alias("kind")).select("__license_row", "kind.*").filter(F.size("hashes") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("hashes") - 1) / F.col("step")).cast("int"))
+    cut = F.transform(starts, lambda w: F.struct((w * F.col("step")).alias("at"), F.slice("hashes", w * F.col("step") + 1, 2 * F.col("step")).alias("grams")))
+    return placed.select("__license_row", "width", "step", F.explode(cut).alias("w")).select("__license_row", "width", "step", "w.at", "w.grams")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """docs with `licenses`, the sorted names of the templates whose shingles a window holds to the share asked for.
 
-    Null and empty texts hold none. Repeated rows are scanned each; a column named licenses is
-    replaced. Only rows that hold an anchor are cut into windows; the template tables are as small
-    as MOST_TEMPLATES allows.
+    Null and empty texts hold none, an empty table stays empty, and very long texts are cut into
+    windows like others. Repeated rows are scanned each; a column named licenses is replaced. Only
+    rows that hold an anchor are cut into windows; the template tables are as small as
+    MOST_TEMPLATES allows.
     """
     found, spark = library(templates), docs.sparkSession
     none = F.array().cast("array<string>")
@@ -138,18 +192,28 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         return docs.drop("licenses").withColumn("licenses", none)
     low = F.translate(text_of(), UPPER, LOWER)
     row = F.struct(F.col("doc_id"), F.xxhash64(text_of()).alias("hash"))
-    maybe = F.lit(False)
-    for a in anchors(found):
-        maybe = maybe | F.contains(low, F.lit(a))
-    words = docs.filter(maybe).select(row.alias("__license_row"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
-    named = [(t.name, t.width, t.size_class, list(t.shingles), -(-round(SHARE * 100) * len(t.shingles) // 100)) for t in found]
-    table = spark.createDataFrame(named, "name string, width int, step int, shingles array<string>, need int")
-    bands = table.withColumn("band", F.explode(band_keys(F.col("shingles"))))
-    keyed = windows(words, found).withColumn("band", F.explode(band_keys(F.col("grams"))))
-    met = keyed.join(F.broadcast(bands), ["width", "step", "band"])
-    verified = met.filter(F.size(F.array_intersect("grams", "shingles")) >= F.col("need"))
-    names = verified.groupBy("__license_row").agg(F.array_sort(F.collect_set("name")).alias("licenses"))
-    joined = docs.drop("licenses").withColumn("__license_key", row).join(names, F.col("__license_key").eqNullSafe(F.col("__license_row")), "left")
+    words = docs.filter(holds_anchor(low, found)).select(row.alias("__license_row"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
+    words = words.dropDuplicates(["__license_row"])
+    named = [(t.name, t.width, t.size_class, [x.split() for x in t.shingles]) for t in found]
+    table = spark.createDataFrame(named, "name string, width int, step int, words array<array<string>>")
+    keys = F.lit(None).cast("array<bigint>")
+    for width in sorted({t.width for t in found}):
+        keys = F.when(F.col("width") == width, F.transform("words", lambda x: F.get(hashed(F.transform(x, lambda w: F.xxhash64(w)), width), F.lit(0)))).otherwise(keys)  # noqa: B023
+    bands = table.select("name", "width", "step", keys.alias("hashes")).withColumn("band", F.explode(band_keys(F.col("hashes")))).drop("hashes")
+    keyed = windows(words, found).select("__license_row", "width", "step", "at", F.explode(band_keys(F.col("grams"))).alias("band"))
+    met = keyed.join(F.broadcast(bands), ["width", "step", "band"]).groupBy("__license_row").agg(F.collect_set(F.struct("at", "name")).alias("met"))
+    entries = [x for t in found for x in (F.lit(t.name), F.struct(F.lit(t.width).alias("width"), F.lit(t.size_class).alias("step"), F.lit(need(t)).alias("need"), F.array(*map(F.lit, t.shingles)).alias("shingles")))]
+    known = F.create_map(*entries)
+
+    def held(m: Column) -> Column:
+        t = F.element_at(known, m["name"])
+        last = F.least(F.size("words") - t["width"], m["at"] + 2 * t["step"] - 1)
+        grams = F.transform(F.sequence(m["at"], last), lambda i: F.array_join(F.slice("words", i + 1, t["width"]), " "))
+        return F.size(F.array_intersect(grams, t["shingles"])) >= t["need"]
+
+    names = F.array_sort(F.array_distinct(F.transform(F.filter("met", held), lambda m: m["name"])))
+    verified = words.join(met, "__license_row").select("__license_row", names.alias("licenses"))
+    joined = docs.drop("licenses").withColumn("__license_key", row).join(verified, F.col("__license_key").eqNullSafe(F.col("__license_row")), "left")
     return joined.withColumn("licenses", F.coalesce("licenses", none)).drop("__license_row", "__license_key")
 
 
@@ -161,7 +225,7 @@ def oracle_sql() -> str:
     """DuckDB SQL for report(): exact containment in every window, without bands."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     found = library()
-    rows = ", ".join(f"({quote(t.name)}, {quote(g)}, {t.width}, {t.size_class}, {-(-round(SHARE * 100) * len(t.shingles) // 100)})" for t in found for g in t.shingles)
+    rows = ", ".join(f"({quote(t.name)}, {quote(g)}, {t.width}, {t.size_class}, {need(t)})" for t in found for g in t.shingles)
     widths = " union all ".join(
         f"select doc_id, {w} as width, unnest(list_transform(generate_series(1, len(w) - {w - 1}), lambda i: {{'place': i - 1, 'gram': array_to_string(w[i:i + {w - 1}], ' ')}})) as x from d"
         for w in sorted({t.width for t in found})

@@ -10,25 +10,28 @@ some block, so a query that looks up all keys so close to its own in every table
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parts_for, text_of
+from .common import materialise, parts_for, text_of
 
 BITS = 128
 #: The largest distance of two documents whose sets of five-word shingles are 80 % alike or more, by brute force over those pairs in the sf0.1 documents.
 RADIUS = 17
 BLOCKS = 9
 REMEMBERED = 300_000
-#: Code points in a bucket of neighbouring ids.
+#: Code points in a bucket of neighbouring ids, more where there would be too many buckets.
 BUCKET_CHARS = 16_000_000
+MOST_BUCKETS = 100_000
 
 
 class Fingerprinter:
@@ -82,32 +85,42 @@ def edited(text: str, following: str) -> str:
 
 
 def _ordered_buckets(docs: DataFrame, chars: int) -> DataFrame:
-    """(bucket, guest, doc_id, text): rows by ranges of id, and in each bucket as guest the row that follows its last.
+    """(bucket, guest, doc_id, tie, text): rows by ranges of id, and in each bucket as guest the row that follows its last.
 
-    Only ids are counted for the ranges. Buckets are numbered in descending order of id, null ids
-    last; the row at the top of a bucket is also the guest of the bucket before, and the very
-    first row that of the last bucket.
+    Buckets are numbered in descending order of id, null ids last; the row at the top of a bucket
+    is also the guest of the bucket before, and the very first row that of the last bucket. An id
+    with many rows, or the null ids, are ranges of their own, cut further by the hash of the text.
+    There are at most MOST_BUCKETS ranges, so what is known of all of them stays small at any size.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("tie", F.xxhash64("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = max(chars, -(-total // MOST_BUCKETS))
     n = parts_for(total, chars, spark.sparkContext.defaultParallelism)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    array = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(array, lambda c: c >= F.col("doc_id"))))
-    # a row for each bucket that has any: bounded by the number of buckets
-    tops = ids.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("top")).orderBy("b").collect()
-    if not tops:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "doc_id", "text")
-    before = {tops[k][0]: tops[k - 1][0] for k in range(len(tops))}
-    host = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("bucket")]
-    top = F.create_map(*[F.lit(x) for b, t in tops for x in (b, -1 if t is None else t)])[F.col("bucket")]
-    is_top = F.coalesce(F.col("doc_id"), F.lit(-1)) == top
-    own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(host.alias("bucket"), F.lit(True).alias("guest"))
-    placed = rows.withColumn("bucket", bucket).withColumn("at", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))))
-    return placed.select("at.bucket", "at.guest", "doc_id", "text").repartition(len(tops), "bucket")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
+    often = {int(c) for c, times in Counter(found).items() if times > 1}  # such an id fills a range alone
+    cuts = sorted({int(c) for c in found} | {c - 1 for c in often if c > -(2**63)}, reverse=True)
+    # a row's range is the number of cuts from its id on, found among the first cuts of runs and then in one run
+    run = max(1, math.isqrt(len(cuts)))
+    array = lambda values: F.array(*[F.lit(c) for c in values]).cast("array<long>")
+    not_below = lambda cut: cut >= F.col("doc_id")
+    whole = F.greatest(F.size(F.filter(array(cuts[::run]), not_below)) - 1, F.lit(0)) * run
+    place = whole + F.size(F.filter(F.slice(array(cuts), whole + 1, run), not_below))
+    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
+    sizes = rows.groupBy("range").agg(F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    parts = F.when(F.col("low").eqNullSafe(F.col("high")), F.greatest(F.lit(1), F.ceil(F.col("chars") / chars))).otherwise(F.lit(1))
+    rows = rows.join(F.broadcast(sizes.select("range", parts.alias("parts"))), "range")
+    rows = rows.withColumn("part", F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("parts")), F.col("parts") - 1).cast("int")).drop("parts")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("down"), "tie")
+    tops = rows.groupBy("range", "part").agg(F.min(order).alias("top"))
+    every = W.orderBy("range", "part")  # a row for each bucket
+    tops = tops.select("range", "part", "top", (F.row_number().over(every) - 1).alias("bucket"), F.count(F.lit(1)).over(W.partitionBy()).alias("buckets"))
+    tops = materialise(tops, "simhash-buckets")
+    placed = rows.join(F.broadcast(tops), ["range", "part"])
+    own = F.struct("bucket", F.lit(False).alias("guest"))
+    guest = F.struct(F.pmod(F.col("bucket") - 1, F.col("buckets")).cast("int").alias("bucket"), F.lit(True).alias("guest"))
+    placed = placed.withColumn("at", F.explode(F.when(order == F.col("top"), F.array(own, guest)).otherwise(F.array(own))))
+    return placed.select("at.bucket", "at.guest", "doc_id", "tie", "text").repartitionByRange(max(1, tops.count()), "bucket")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -128,7 +141,7 @@ def fingerprints(docs: DataFrame, chars: int = BUCKET_CHARS) -> DataFrame:
         held = None  # the row before, which waits for the one that follows it
         for batch in batches:
             out = []
-            for bucket, guest, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for bucket, guest, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
                 text = text.as_py()
                 print_ = make(text)
                 if held is not None and held[0] == bucket:
@@ -142,9 +155,8 @@ def fingerprints(docs: DataFrame, chars: int = BUCKET_CHARS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=names)
 
     rows = _ordered_buckets(docs, chars)
-    tie = F.xxhash64("text")
-    # of several rows with the bucket's top id the first in this order is the one that follows
-    rows = rows.sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), tie, "text")
+    # equal rows may all be guests: the first is the one that follows, the others are passed over
+    rows = rows.sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
     return rows.mapInArrow(run, SCHEMA)
 
 
@@ -182,7 +194,7 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, b
     if radius < 0 or not 3 <= blocks <= BITS:
         raise ValueError("the radius must not be negative, and there must be 3 to 128 blocks")
     tolerance = radius // blocks
-    if sum(comb(-(-BITS // blocks), n) for n in range(tolerance + 1)) > 10_000:
+    if sum(math.comb(-(-BITS // blocks), n) for n in range(tolerance + 1)) > 10_000:
         raise ValueError("too many keys a table: take more blocks")
 
     def keyed(df: DataFrame, name: str, tolerance: int) -> DataFrame:
@@ -198,8 +210,6 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, b
 
 def report(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """fingerprints() with n_near: for ids divisible by 20, how many documents lie within the radius, itself included."""
-    from .common import materialise
-
     table = materialise(fingerprints(docs), "simhash")
     asks = table.filter(F.col("doc_id") % 20 == 0).select("fingerprint")
     counts = table.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))

@@ -111,20 +111,24 @@ def pivotal_copies(sized: DataFrame, seed: int = 7, weights=WEIGHTS, cap: float
     """sized (doc_id, source, size and the carried columns) with source_size, target, copies and taken (size * copies).
 
     A source's rows are spread over blocks of about fan_in rows by size class and a hash, so a
-    source with a third of all rows is many blocks of the usual size. Repeated rows are rounded
-    each on its own; null sizes count as 0; no rows give no rows. Given the rows and the seed the
-    result is the same in any run.
+    source with a third of all rows is many blocks of the usual size. Repeated rows, equal in all
+    these columns, share one probability, the sum of theirs: its whole part is taken outright and
+    the rest rounded, and the copies are dealt evenly to them; so a row that is repeated very
+    often is one row of a block. Null sizes count as 0; no rows give no rows. Given the rows and
+    the seed the result is the same in any run.
     """
     sized = materialise(sized.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *carry), "mix-sizes")
     targets = source_targets(sized, weights, cap).withColumnRenamed("source", "_source")
+    sized = sized.groupBy("doc_id", "source", "size", *carry).agg(F.count(F.lit(1)).alias("times"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    whole = F.floor(rate).cast("long")
+    mass = rate * F.col("times")
+    whole = F.floor(mass).cast("long")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).select(
         "source",
         "size",
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.lit(seed)).alias("hash"),
-        (rate - whole).alias("p"),
-        F.struct("doc_id", "source_size", "target", whole.alias("whole"), *carry).alias("keep"),
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.lit(seed), *carry).alias("hash"),
+        (mass - whole).alias("p"),
+        F.struct("doc_id", "source_size", "target", "times", whole.alias("whole"), *carry).alias("keep"),
     )
     octave = F.log2(F.col("size") + 1.0)
     groups = [F.floor(octave * FINE).cast("int"), F.floor(octave).cast("int")]
@@ -142,13 +146,25 @@ def pivotal_copies(sized: DataFrame, seed: int = 7, weights=WEIGHTS, cap: float
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    copies = F.col("keep.whole") + F.col("unit")
-    return every.select("keep.doc_id", "source", "size", "keep.source_size", "keep.target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[F.col(f"keep.{c}") for c in carry])
+    flat = every.select("keep.doc_id", "source", "size", "keep.source_size", "keep.target", (F.col("keep.whole") + F.col("unit")).alias("_copies"), F.col("keep.times").alias("_times"), *[F.col(f"keep.{c}").alias(c) for c in carry])
+    # one row of each that is repeated, in two steps, so that no array grows with the repeats
+    once, often = flat.filter("_times = 1").withColumn("copies", F.col("_copies")), flat.filter("_times > 1")
+    often = often.withColumn("_from", F.explode(F.expr("sequence(1L, _times, 10000L)")))
+    often = often.withColumn("_of", F.explode(F.expr("sequence(_from, least(_times, _from + 9999))")))
+    # each of the equal rows gets its even share, and the first of them one more
+    share = F.floor(F.col("_copies") / F.col("_times")).cast("long")
+    often = often.withColumn("copies", share + F.when(F.col("_of") <= F.col("_copies") - share * F.col("_times"), 1).otherwise(0)).drop("_from", "_of")
+    each = once.unionByName(often)
+    return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64("doc_id", "source", "text").alias("__mix_key"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """documents -> (doc_id, source, size, source_size, target, copies, taken)."""
-    return pivotal_copies(docs.select("doc_id", "source", word_count(text_of()).alias("size")), seed)
+    return pivotal_copies(_sized(docs), seed, carry=("__mix_key",)).drop("__mix_key")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -157,10 +173,8 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     Rows are found again by a hash of id, source and text; rows equal in these are interchangeable,
     so their copies are added up and the first such row is repeated that often.
     """
-    key = F.xxhash64("doc_id", "source", "text")
     columns = docs.columns
-    tagged = docs.withColumn("__mix_key", key)
-    sized = tagged.select("doc_id", "source", word_count(text_of()).alias("size"), "__mix_key")
-    copies = pivotal_copies(sized, seed, carry=("__mix_key",)).groupBy("__mix_key").agg(F.sum("copies").cast("int").alias("__mix_copies"))
+    tagged = docs.withColumn("__mix_key", F.xxhash64("doc_id", "source", "text"))
+    copies = pivotal_copies(_sized(docs), seed, carry=("__mix_key",)).groupBy("__mix_key").agg(F.sum("copies").cast("int").alias("__mix_copies"))
     rows = tagged.dropDuplicates(["__mix_key"]).join(copies, "__mix_key").filter("__mix_copies > 0")
     return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*columns)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import text_queries, vector_queries
+from .plans import comparison_queries, source_queries, text_queries, vector_queries
 
-_ALL = vector_queries.Q | text_queries.Q
+_ALL = vector_queries.Q | text_queries.Q | comparison_queries.Q | source_queries.Q
 
 
 def flagship(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import lexicons
+
 WORD = r"[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*"
 TAXONOMY_WORD = "[a-z0-9]+(?:'[a-z0-9]+)?"
 STRATA_WORD = "[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
@@ -62,8 +64,8 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def stable_seed(*parts: Column) -> Column:
-    """The first four bytes of the SHA-256 of the joined parts, big-endian."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("long")
+    """The first four bytes of the SHA-256 of the parts, joined by NUL, big-endian."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("long")
 
 
 def case_low(x: Column) -> Column:
@@ -88,13 +90,18 @@ def punctuation_high(x: Column) -> Column:
 
 
 def delete_words(x: Column, seed: Column, share: float | None) -> Column:
-    """A cyclic run of words gone, from a place the seed picks: one, or that share rounded up. The last word always stays."""
+    """A cyclic run of words gone, from a place the seed picks: one, or that share rounded up.
+
+    Of three words or more the first always stays; of two, one goes; a text of at most one word stays as it is.
+    """
     w = split_words(x)
     n = F.size(w)
-    count = F.lit(1) if share is None else F.ceil(n * share).cast("int")
-    start = F.pmod(seed, n.cast("long")).cast("int")
-    kept = F.filter(w, lambda word, i: F.pmod(i - start, n) >= F.least(count, n - 1))
-    return F.when(n <= 1, F.array_join(w, " ")).otherwise(F.array_join(kept, " "))
+    fixed = F.when(n > 2, 1).otherwise(0)
+    places = n - fixed
+    count = F.least(F.lit(1) if share is None else F.greatest(F.lit(1), F.ceil(n * share).cast("int")), places)
+    start = F.pmod(seed, F.greatest(places, F.lit(1)).cast("long")).cast("int")
+    kept = F.filter(w, lambda word, i: (i < fixed) | (F.pmod(i - fixed - start, F.greatest(places, F.lit(1))) >= count))
+    return F.when(n <= 1, x).otherwise(F.array_join(kept, " "))
 
 
 def shorten(x: Column, share: float) -> Column:
@@ -103,19 +110,41 @@ def shorten(x: Column, share: float) -> Column:
     return F.array_join(F.slice(w, 1, F.greatest(F.lit(1), F.ceil(F.size(w) * share).cast("int"))), " ")
 
 
-def typo(x: Column, seed: Column) -> Column:
-    """Two neighbouring letters swapped, at a place the seed picks among those where both are letters."""
-    places = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.when(F.regexp_like(F.substring(x, i, F.lit(2)), F.lit(r"^\p{L}{2}$")), i)),
-        lambda i: i.isNotNull(),
-    )
-    at = F.element_at(places, (F.pmod(seed, F.size(places).cast("long")) + 1).cast("int"))
+def typo(x: Column, seed: Column, high: bool = False) -> Column:
+    """Two neighbouring letters swapped, at a place the seed picks among those where both are letters.
+
+    In high severity another such place, unless it is one of the two, gets an x, or a q where an x is.
+    """
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.when(F.regexp_like(F.substring(x, i, F.lit(2)), F.lit(r"^\p{L}{2}$")), i))
+    places = F.filter(pairs, lambda i: i.isNotNull())
+    n = F.greatest(F.size(places), F.lit(1)).cast("long")
+    at = F.get(places, F.pmod(seed, n).cast("int"))
     swapped = F.concat(F.substring(x, F.lit(1), at - 1), F.substring(x, at + 1, F.lit(1)), F.substring(x, at, F.lit(1)), F.substring(x, at + 2, F.length(x)))
+    if high:
+        other = F.get(places, F.pmod(F.floor(seed / 17) + 1, n).cast("int"))
+        letter = F.when(F.lower(F.substring(swapped, other, F.lit(1))) == "x", "q").otherwise("x")
+        changed = F.concat(F.substring(swapped, F.lit(1), other - 1), letter, F.substring(swapped, other + 1, F.length(swapped)))
+        swapped = F.when((F.size(places) > 1) & ~other.isin(at, at + 1), changed).otherwise(swapped)
     return F.when(F.size(places) == 0, x).otherwise(swapped)
 
 
 def without_token(tokens: Column, i: Column) -> Column:
     """The tokens without the i-th (from 0), joined as text; a mask if none is left."""
     text = F.array_join(F.filter(tokens, lambda t, k: k != i), " ")
-    tidy = F.regexp_replace(text, r" ([.,!?;:)\]])", "$1")
-    return F.when(F.trim(tidy) == "", F.lit("[MASK]")).otherwise(F.trim(tidy))
+    for pattern in (r"\s+([,.;!?%])", r"([(\[/{])\s+", r"\s+([)\]}])"):
+        text = F.regexp_replace(text, pattern, "$1")
+    return F.when(F.trim(text) == "", F.lit("[MASK]")).otherwise(F.trim(text))
+
+
+def token_category(token: Column) -> Column:
+    """What a token is by the fixed lists, the first that holds it."""
+    low, kind = F.lower(token), F
+    for name, listed in (
+        ("object_heuristic", lexicons.TOKEN_OBJECTS),
+        ("action_heuristic", lexicons.TOKEN_ACTIONS),
+        ("attribute_heuristic", lexicons.TOKEN_ATTRIBUTES),
+        ("spatial_heuristic", lexicons.TOKEN_SPATIAL),
+        ("stopword_like_heuristic", lexicons.TOKEN_STOPWORDS),
+    ):
+        kind = kind.when(low.isin(listed), name)
+    return kind.otherwise("other_token")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(v: Column) -> Column:
     """The vector over its length; null for the zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    scaled = lambda u: let(norm(u), lambda n: F.when(n > 0, F.transform(u, lambda x: x.cast("double") / n)))
+    return let(v, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -110,12 +110,12 @@ def stability(a: DataFrame, b: DataFrame, qrels: DataFrame, k: int) -> DataFrame
 
 
 def movement(a: Column, b: Column) -> Column:
-    """How a rank changed: null is past the end of what was returned."""
+    """How a rank changed: null is past the end of what was returned, and then only success among the first five tells."""
     big = F.abs(a - b) >= 5
+    early = lambda r: F.coalesce(r <= 5, F.lit(False))
+    unseen = F.when(early(a) == early(b), "censored").when(early(b), "major_improvement").otherwise("major_regression")
     return (
-        F.when(a.isNull() & b.isNull(), "censored")
-        .when(a.isNull(), "major_improvement")
-        .when(b.isNull(), "major_regression")
+        F.when(a.isNull() | b.isNull(), unseen)
         .when(a == b, "unchanged")
         .when(b < a, F.when(big, "major_improvement").otherwise("minor_improvement"))
         .otherwise(F.when(big, "major_regression").otherwise("minor_regression"))

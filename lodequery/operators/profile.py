@@ -9,12 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import STOPWORDS
 from ..functions.text import normalize_text, punctuation_count, words
 
-#: Words that carry no content.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
-
-
 def numbers(c: Column, name: str) -> list[Column]:
     """Count, extremes, mean, median and outer deciles, interpolated."""
     return [

@@ -131,6 +131,34 @@ def bootstrap(values: DataFrame, resamples: int, seed: int = 42, low: float = 0.
     return values.agg(F.round(F.avg("value"), 6).alias("mean")).crossJoin(F.broadcast(stats))
 
 
+def auc_bootstrap(rows: DataFrame, resamples: int, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Percentile interval of the ROC area of (place, score, label), place from 0; resamples of one class aren't used.
+
+    A resample's area is found by counting labels at each distinct score, as in roc_auc.
+    """
+    n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))
+    draws = rows.select("place").crossJoin(n).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = draws.select("b", hash_draw(seed, F.col("b"), F.col("place"), F.col("n")).alias("place"))
+    at = drawn.join(rows, "place").groupBy("b", "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    below = W.partitionBy("b").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    wins = at.withColumn("won", F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2.0))
+    areas = wins.groupBy("b").agg(F.sum("won").alias("w"), (F.sum("p") * F.sum("q")).alias("pq")).filter("pq > 0").select((F.col("w") / F.col("pq")).alias("a"))
+    return areas.agg(F.count(F.lit(1)).alias("usable"), F.round(F.avg("a"), 6).alias("mean"), F.round(F.percentile("a", low), 6).alias("low"), F.round(F.percentile("a", high), 6).alias("high"))
+
+
+def group_bootstrap(rows: DataFrame, group: str, resamples: int, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(group, n, mean, low, high) of (group, id, value): each group's resamples draw from itself by hash."""
+    order = W.partitionBy(group).orderBy("id")
+    placed = rows.withColumn("place", F.row_number().over(order).cast("long") - 1)
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    draws = placed.select(group, "place").join(sizes.select(group, "n"), group).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col("b").cast("string"), F.col("place").cast("string"))
+    pick = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % F.col("n")
+    means = draws.select(group, "b", pick.alias("place")).join(placed.select(group, "place", "value"), [group, "place"]).groupBy(group, "b").agg(F.avg("value").alias("m"))
+    interval = means.groupBy(group).agg(F.round(F.percentile("m", low), 6).alias("low"), F.round(F.percentile("m", high), 6).alias("high"))
+    return sizes.join(interval, group).select(group, "n", F.round("mean", 6).alias("mean"), "low", "high")
+
+
 def sign_flip(deltas: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
     """Two-sided p of the mean delta of (place, delta): signs by a hash's parity, (extreme + 1) / (permutations + 1)."""
     draws = deltas.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicons
 from ..functions import text as T
 from ..operators import diagnostics, lexical, profile
 from ..sources import records
@@ -29,19 +30,36 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# captions that the conversations lack: words of every lexicon, repeats within and across groups, a blank one, marks
+PLANTED_CAPTIONS = [
+    (1_000_001, 0, "Two red dogs and a dog run on 3 boats."),
+    (1_000_001, 1, "A man is standing next to a horse"),
+    (1_000_001, 2, "a man is  standing next to a horse "),
+    (1_000_002, 0, "A man is standing next to a horse"),
+    (1_000_002, 1, " "),
+    (1_000_003, 0, "(see [box] at 5 % {here}!)"),
+    (1_000_003, 1, "xx xylophone, the cat's car"),
+    (1_000_004, 0, "without a dog or cat in the big kitchen the boy eats seven pizzas near twelve people on a bench"),
+    *[(1_000_010 + i, 0, "the same text in many groups") for i in range(12)],
+]
+
+
 def captions(spark, sf):
-    return table(spark, sf, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("caption_id"), F.col("conv_id").alias("group_id"), "text", "role")
+    planted = spark.createDataFrame([(g, t, x, "user") for g, t, x in PLANTED_CAPTIONS], "conv_id long, turn long, text string, role string")
+    every = table(spark, sf, "conversations").select("conv_id", "turn", "text", "role").union(planted)
+    return every.select(F.concat_ws("#", "conv_id", "turn").alias("caption_id"), F.col("conv_id").alias("group_id"), "text", "role")
 
 
 def groups(spark, sf):
-    return table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id")).distinct()
+    return captions(spark, sf).select("group_id").distinct()
 
 
 FOLD = lambda x: f"replace(lower({x}), 'ß', 'ss')"
 WORD = T.WORD.replace("'", "''")
 WORDS = lambda x: f"regexp_extract_all({FOLD(x)}, '{WORD}')"
 NORM = lambda x: f"trim(regexp_replace({FOLD(x)}, '\\s+', ' ', 'g'))"
-C = "c as (select conv_id::varchar || '#' || turn::varchar as caption_id, conv_id as group_id, coalesce(text, '') as text, role from conversations)"
+_ROWS = ", ".join("({}, {}, '{}', 'user')".format(g, t, x.replace("'", "''")) for g, t, x in PLANTED_CAPTIONS)
+C = f"c as (select conv_id::varchar || '#' || turn::varchar as caption_id, conv_id as group_id, coalesce(text, '') as text, role from (select conv_id, turn, text, role from conversations union all select * from (values {_ROWS}) v(conv_id, turn, text, role)))"
 M = f"{C}, m as (select *, {WORDS('text')} as tokens, len({WORDS('text')}) as n, {NORM('text')} as norm from c)"
 HASH = lambda x, seed=42: f"sha256('{seed}:' || {x}::varchar)"
 
@@ -276,40 +294,88 @@ def index_statistics(spark, sf):
 # diagnostics
 
 TX = lambda x: f"regexp_extract_all({FOLD(x)}, '[a-z0-9]+(?:''[a-z0-9]+)?')"
-HAS = lambda lexicon: "list_has_any(t, [" + ", ".join(f"'{w}'" for w in lexicon) + "])"
-FEATURES = f"""{C}, x as (select caption_id, {TX('text')} as t from c), e as (select caption_id, unnest(t) as token from x), n as (select token, count(*) as n from e group by 1),
-ra as (select caption_id, count(*) as r from e join n using (token) where n <= 1 group by 1),
-ft as (select caption_id, len(t)::bigint as n_tokens, coalesce(r, 0)::bigint as rare_tokens, {HAS(diagnostics.COLOURS)} as colour, {HAS(diagnostics.SPATIAL)} as spatial, {HAS(diagnostics.COUNTING)} as counting, {HAS(diagnostics.NEGATION)} as negation from x left join ra using (caption_id))"""
+LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+AMONG = lambda words: f"list_sort(list_distinct(list_filter(t, lambda w: list_contains({LIST(words)}, w))))"
 
 
-@query(f"with {FEATURES} select * from ft")
-def caption_features(spark, sf):
-    return diagnostics.caption_features(captions(spark, sf))
+def features_sql(captions):
+    """CTEs over captions (caption_id, text) for the features ft."""
+    return f"""x as (select caption_id, text, {TX('text')} as t from {captions}), ev as (select caption_id, unnest(t) as token from x), nv as (select token, count(*) as n from ev group by 1),
+ra as (select caption_id, count(*) as r from ev join nv using (token) where n <= 1 group by 1),
+fx as (select caption_id, len(t)::bigint as word_count, length(text)::bigint as character_count, len(list_distinct(t))::bigint as unique_token_count, coalesce(r, 0)::bigint as rare_token_count,
+ round(coalesce(r, 0) / greatest(len(t), 1), 6) as rare_token_fraction,
+ list_sort(list_distinct(list_filter(t, lambda w: regexp_full_match(w, '[0-9]+') or list_contains({LIST(lexicons.NUMBER_WORDS)}, w)))) as number_terms,
+ {AMONG(lexicons.ATTRIBUTE_WORDS)} as attribute_terms, {AMONG(lexicons.ACTION_WORDS)} as action_terms, {AMONG(lexicons.SPATIAL_WORDS)} as spatial_terms, {AMONG(lexicons.OBJECT_WORDS)} as object_terms
+ from x left join ra using (caption_id)),
+ft as (select *, len(number_terms) > 0 as has_number_or_count_term, len(attribute_terms) > 0 as has_attribute_term, len(action_terms) > 0 as has_action_term, len(spatial_terms) > 0 as has_spatial_term,
+ len(object_terms) > 0 as has_object_term, len(object_terms) >= 2 as multiple_object_terms, word_count <= 3 as short_caption, rare_token_count > 0 as rare_token_present from fx)"""
 
 
-CATEGORIES = [("n_tokens <= 5", "short_caption"), ("n_tokens >= 15", "long_caption"), ("rare_tokens > 0", "rare_vocabulary"), ("colour", "attribute"), ("spatial", "relation"), ("counting", "counting"), ("negation", "negation")]
+FEATURES = f"{C}, {features_sql('c')}"
+TERM_LISTS = ["number_terms", "attribute_terms", "action_terms", "spatial_terms", "object_terms"]
+
+
+@query(f"with {FEATURES} select * replace (" + ", ".join(f"array_to_string({t}, ' ') as {t}" for t in TERM_LISTS) + ") from ft")
+def caption_features(spark, sf):
+    return diagnostics.caption_features(captions(spark, sf)).withColumns({t: F.array_join(t, " ") for t in TERM_LISTS})
+
+
+FLAGGED = [
+    ("has_object_term", "object_confusion"),
+    ("has_attribute_term", "attribute_confusion"),
+    ("has_action_term", "action_confusion"),
+    ("has_number_or_count_term", "counting_quantity"),
+    ("has_spatial_term", "spatial_relation"),
+    ("short_caption", "short_underspecified_query"),
+    ("multiple_object_terms", "multiple_object_confusion"),
+    ("rare_token_present", "lexical_ambiguity"),
+]
+CATEGORY = (
+    " union all ".join(f"select caption_id, '{n}' as category, 'heuristic' as label_source from ft where {c}" for c, n in FLAGGED)
+    + " union all select caption_id, 'other_unclassified', 'mechanical' from ft where not ("
+    + " or ".join(c for c, _ in FLAGGED)
+    + ")"
+)
 
 
-@query(f"with {FEATURES}, k as (" + " union all ".join(f"select caption_id, '{n}' as category from ft where {c}" for c, n in CATEGORIES) + ") select category, count(*) as captions from k group by 1")
+@query(f"with {FEATURES}, k as ({CATEGORY}) select category, label_source, count(*) as captions from k group by 1, 2")
 def caption_categories(spark, sf):
-    return diagnostics.categories(diagnostics.caption_features(captions(spark, sf))).groupBy("category").agg(F.count(F.lit(1)).alias("captions"))
+    return diagnostics.categories(diagnostics.caption_features(captions(spark, sf))).groupBy("category", "label_source").agg(F.count(F.lit(1)).alias("captions"))
 
 
-STRATA = f"""{C}, x as (select caption_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'), lambda w: lower(w)) as t from c), e as (select caption_id, unnest(t) as token from x), n as (select token, count(*) as n from e group by 1),
-le as (select caption_id, min(n) as least from e join n using (token) group by 1), sr as (select caption_id, case when len(t) <= 7 then 'short' when len(t) <= 14 then 'medium' else 'long' end as length,
- case when least is null then 'none' when least <= 4 then 'rare' when least <= 49 then 'medium' else 'common' end as rarity, case when list_has_any(t, ['and', 'or', 'with', 'while', 'that', 'which']) then 'multi_object_or_structured' else 'simple' end as complexity from x left join le using (caption_id))"""
+# every third conversation is the training part whose words are counted
+STRATA = f"""{C}, x as (select caption_id, group_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'), lambda w: lower(w)) as t from c where trim(text) <> ''),
+e as (select unnest(t) as token from x where group_id % 3 = 0), n as (select token, count(*) as n from e group by 1),
+o as (select caption_id, t, list_filter(t, lambda w: not list_contains({LIST("a an and are at by for from has in is it of on or that the their this to with".split())}, w)) as k from x),
+le as (select caption_id, min(coalesce(n, 0)) as rarest from (select caption_id, unnest(k) as token from o) left join n using (token) group by 1),
+ob as (select caption_id, len(list_distinct(list_filter(k, lambda w: list_contains({LIST(lexicons.STRATA_OBJECTS)}, w))))::bigint as objects,
+ list_has_any(k, ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten']) or list_contains(t, 'and') as more from o),
+sr as (select caption_id, len(t)::bigint as words, case when len(t) <= 7 then 'short' when len(t) <= 14 then 'medium' else 'long' end as length, len(k)::bigint as content_words, rarest,
+ case when rarest is null then 'unknown' when rarest <= 4 then 'rare' when rarest <= 49 then 'medium' else 'common' end as rarity, objects,
+ case when objects >= 2 or (objects > 0 and more) then 'multi_object_or_structured' else 'single_object_or_simple' end as complexity from o left join le using (caption_id) join ob using (caption_id))"""
 
 
 @query(f"with {STRATA} select * from sr")
 def group_strata(spark, sf):
-    return diagnostics.caption_strata(captions(spark, sf))
+    c = captions(spark, sf)
+    return diagnostics.caption_strata(c, c.filter("group_id % 3 = 0"))
+
 
+@query(
+    f"""with {C}, w as (select caption_id, group_id, {TX('text')} as t from c), p as (select a.group_id, len(list_intersect(list_distinct(a.t), list_distinct(b.t))) / greatest(1, len(list_distinct(list_concat(a.t, b.t)))) as j
+ from w a join w b on a.group_id = b.group_id and a.caption_id < b.caption_id), h as (select group_id, avg(j) as j from p group by 1)
+select group_id, count(*) as captions, min(len(t))::bigint as min_words, max(len(t))::bigint as max_words, round(avg(len(t)), 6) as mean_words, round(coalesce(any_value(j), 0), 6) as mean_jaccard from w left join h using (group_id) group by 1"""
+)
+def caption_set_features(spark, sf):
+    return diagnostics.caption_set_features(captions(spark, sf))
 
-@query(f"with {M}, l as (select case when n <= 7 then '0-7' when n <= 14 then '8-14' when n <= 30 then '15-30' else '31+' end as bin, (role = 'assistant')::int as f from m) select bin, count(*) as captions, round(avg(f), 6) as rate from l group by 1")
-def length_bin_failures(spark, sf):
-    n = F.col("n_words")
-    b = F.when(n <= 7, "0-7").when(n <= 14, "8-14").when(n <= 30, "15-30").otherwise("31+")
-    return profile.measured(captions(spark, sf)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("captions"), F.round(F.avg((F.col("role") == "assistant").cast("int")), 6).alias("rate"))
+
+@query(
+    """with i as (select p_partkey as id, p_size as width, 25 as height from part) select id, case when width <= 0 then null when width / height <= 0.75 or width / height >= 4 / 3 then 'wide_or_tall_extreme'
+ when width / height between 0.9 and 1.1 then 'near_square' else 'moderate_aspect' end as aspect from i"""
+)
+def aspect_strata(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), diagnostics.aspect_strata(F.col("p_size"), F.lit(25)).alias("aspect"))
 
 
 def _corruption(name, change, sql):
@@ -322,11 +388,17 @@ def _corruption(name, change, sql):
 
 
 SW = "list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')"
-SEED = "('0x' || substr(sha256('5|' || text), 1, 8))::bigint"
+SEED = "('0x' || substr(sha256('5' || chr(0) || text), 1, 8))::bigint"
 
 
 def _cut(n):
-    return f"case when len({SW}) <= 1 then array_to_string({SW}, ' ') else array_to_string(list_filter({SW}, lambda w, i: ((i - 1 - ({SEED} % len({SW}))) % len({SW}) + len({SW})) % len({SW}) >= least({n}, len({SW}) - 1)), ' ') end"
+    first = f"(case when len({SW}) > 2 then 1 else 0 end)"
+    return f"""case when len({SW}) <= 1 then text else array_to_string(list_filter({SW}, lambda w, i: i - 1 < {first} or
+ ((i - 1 - {first} - ({SEED} % (len({SW}) - {first}))) % (len({SW}) - {first}) + len({SW}) - {first}) % (len({SW}) - {first}) >= least({n}, len({SW}) - {first})), ' ') end"""
+
+
+LETTERS = "list_filter(generate_series(1, length(text) - 1), lambda i: regexp_full_match(substr(text, i, 2), '\\p{L}{2}'))"
+SWAP = f"with p as (select caption_id, text, {SEED} as seed, {LETTERS} as p from c), a as (select *, p[seed % greatest(len(p), 1) + 1] as k, p[(seed // 17 + 1) % greatest(len(p), 1) + 1] as o from p), s as (select *, substr(text, 1, k - 1) || substr(text, k + 1, 1) || substr(text, k, 1) || substr(text, k + 2) as w from a)"
 
 
 _corruption("text_corruption_casing_low", T.case_low, "regexp_extract(text, '^[^\\p{L}]*') || lower(substr(text, length(regexp_extract(text, '^[^\\p{L}]*')) + 1, 1)) || substr(text, length(regexp_extract(text, '^[^\\p{L}]*')) + 2)")
@@ -337,16 +409,25 @@ _corruption("text_corruption_word_deletion_low", lambda x: T.delete_words(x, T.s
 _corruption("text_corruption_word_deletion", lambda x: T.delete_words(x, T.stable_seed(F.lit(5), x), 0.3), _cut(f"ceil(len({SW}) * 0.3::double)"))
 _corruption("text_corruption_shortened_low", lambda x: T.shorten(x, 0.75), f"array_to_string({SW}[1:greatest(1, ceil(len({SW}) * 0.75))::bigint], ' ')")
 _corruption("text_corruption_shortened", lambda x: T.shorten(x, 0.4), f"array_to_string({SW}[1:greatest(1, ceil(len({SW}) * 0.4::double))::bigint], ' ')")
-_corruption("text_corruption_typo", lambda x: T.typo(x, T.stable_seed(F.lit(5), x)), None)
+_corruption("text_corruption_typo_low", lambda x: T.typo(x, T.stable_seed(F.lit(5), x)), None)
+_corruption("text_corruption_typo", lambda x: T.typo(x, T.stable_seed(F.lit(5), x), high=True), None)
+Q["text_corruption_typo_low"] = (Q["text_corruption_typo_low"][0], f"with {C}, q as ({SWAP} select caption_id, case when len(p) = 0 then text else w end as text from s) select * from q")
+Q["text_corruption_typo"] = (
+    Q["text_corruption_typo"][0],
+    f"with {C}, q as ({SWAP} select caption_id, case when len(p) = 0 then text when len(p) = 1 or o = k or o = k + 1 then w else substr(w, 1, o - 1) || case when lower(substr(w, o, 1)) = 'x' then 'q' else 'x' end || substr(w, o + 1) end as text from s) select * from q",
+)
 
 
 PIECES = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')"
+TIDY = "trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(t, lambda z, k: k <> i), ' '), '\\s+([,.;!?%])', '\\1', 'g'), '([(\\[/{])\\s+', '\\1', 'g'), '\\s+([)\\]}])', '\\1', 'g'))"
 
 
 @query(
     f"""with {C}, p as (select caption_id, {PIECES} as t from c), o as (select caption_id, t, unnest(generate_series(1, len(t))) as i from p),
-j as (select caption_id, i, t[i] as token, trim(regexp_replace(array_to_string(list_filter(t, lambda z, k: k <> i), ' '), ' ([.,!?;:)\\]])', '\\1', 'g')) as text from o)
-select caption_id, (i - 1)::bigint as at, token, case when text = '' then '[MASK]' else text end as text from j"""
+j as (select caption_id, i, t[i] as token, {TIDY} as text from o)
+select caption_id, (i - 1)::bigint as at, token, case when lower(token) in ('above', 'across', 'behind', 'below', 'beside', 'between', 'front', 'inside', 'near', 'next', 'on', 'over', 'under', 'with') then 'spatial_heuristic'
+ when lower(token) in {tuple(lexicons.TOKEN_OBJECTS)} then 'object_heuristic' when lower(token) in {tuple(lexicons.TOKEN_ACTIONS)} then 'action_heuristic' when lower(token) in {tuple(lexicons.TOKEN_ATTRIBUTES)} then 'attribute_heuristic'
+ when lower(token) in ('a', 'an', 'and', 'at', 'for', 'in', 'of', 'the', 'to') then 'stopword_like_heuristic' else 'other_token' end as category, case when text = '' then '[MASK]' else text end as text from j"""
 )
 def token_deletion_variants(spark, sf):
     return diagnostics.occlusions(captions(spark, sf))
@@ -391,15 +472,32 @@ def quality_latency_frontier(spark, sf):
     return p.join(front, "config", "left").select("config", "quality", "cost", F.coalesce("_f", F.lit(False)).alias("on_frontier"))
 
 
-LINES = "('(?i)(api[_-]?key|secret|token|password)\\s*[:=]\\s*[''\"]?[A-Za-z0-9_\\-]{8,}'), ('AKIA[0-9A-Z]{16}'), ('-----BEGIN [A-Z ]*PRIVATE KEY-----')"
+# texts with lines of each kind, next to the documents' own
+PLANTED = [
+    "-----BEGIN RSA PRIVATE KEY-----",
+    "see /Users/someone/notes.txt",
+    "x/home/no but (/Volumes/disk/yes)",
+    "sk-abcdefghijklmnop1234",
+    "api_key = 'abcdefgh12345678'",
+    "password: short",
+    "token sk-tooshort",
+]
+LINES = f"documents2 as (select doc_id, coalesce(text, '') as text from documents union all select * from (values {', '.join(f'({-1 - i}, {chr(39)}first line{chr(39)} || chr(10) || {chr(39)}{t.replace(chr(39), chr(39) * 2)}{chr(39)})' for i, t in enumerate(PLANTED))}) v(doc_id, text))"
+FOUND = [
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("token_prefix", "\\b(?:sk|ghp|xox[baprs])-[A-Za-z0-9_-]{16,}\\b"),
+    ("credential_assignment", "(?i)\\b(?:api[_-]?key|access[_-]?token|client[_-]?secret|password)\\s*[:=]\\s*[\"'']?[A-Za-z0-9_./+=-]{16,}"),
+    ("absolute_path", "(^|[^A-Za-z0-9])/(?:Users|Volumes|home)/[^\\s`\"'')]+"),
+]
 
 
 @query(
-    f"""with l as (select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line, unnest(string_split(coalesce(text, ''), chr(10))) as s from documents)
-select doc_id, line, 'secret' as finding from l where exists (select 1 from (values {LINES}) v(p) where regexp_matches(s, p)) union all select doc_id, line, 'home_path' from l where regexp_matches(s, '(/Users/|/home/|[A-Z]:\\\\Users\\\\)[A-Za-z0-9._-]+')"""
+    f"with {LINES}, l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as line from documents2) "
+    + " union all ".join(f"select doc_id, line, '{n}' as finding from l where regexp_matches(s, '{p}')" for n, p in FOUND)
 )
 def line_findings(spark, sf):
-    return diagnostics.line_findings(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return diagnostics.line_findings(d.union(spark.createDataFrame([(-1 - i, f"first line\n{t}") for i, t in enumerate(PLANTED)], "doc_id long, text string")))
 
 
 @query("select sha256(text) as digest, count(*) as n, min(doc_id) as first from documents group by 1 having count(*) > 1")
@@ -410,9 +508,20 @@ def duplicates_by_digest(spark, sf):
 # sources
 
 
-@query()
+PAGE = (
+    '<a href="http://h/img/123.jpg?x=1">x</a><ul><li> one  two </li><li>b &amp; c</li></ul> Image Not Found <ul><li>c</li></ul>'
+    '<a href="about.html">no</a><a href=456.JPG></a><ul><li>d</li><li> </li></ul><p>image not found</p>'
+)
+
+
+@query(
+    "select * from (values (-1, '123', '123.jpg', '123#0', 'one two'), (-1, '123', '123.jpg', '123#1', 'b & c'), (-1, 'missing-source-image-000002', null, 'missing-source-image-000002#0', 'c'),"
+    " (-1, '456', '456.jpg', '456#0', 'd'), (-1, 'missing-source-image-000004', null, null, null)) v(page_id, group_id, filename, caption_id, text)"
+)
 def html_caption_parse(spark, sf):
-    return records.caption_pages(table(spark, sf, "pages"))
+    """The pages of the table, which hold no image links, and one that does."""
+    pages = table(spark, sf, "pages").select("page_id", "html").union(spark.createDataFrame([(-1, PAGE)], "page_id long, html string"))
+    return records.caption_pages(pages).select("page_id", "group_id", "filename", F.explode_outer("captions").alias("c")).select("page_id", "group_id", "filename", "c.caption_id", "c.text")
 
 
 @query("select page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host, strlen(html)::bigint as bytes, len(regexp_extract_all(html, '<li[ >]'))::bigint as items, len(regexp_extract_all(html, '<a[ >]'))::bigint as links from pages")
@@ -435,12 +544,10 @@ def event_windows(spark, sf):
     return streams.counters(table(spark, sf, "events"))
 
 
-@query()
+@query("select time_bucket(interval 5 minute, ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def event_windows_stream(spark, sf):
-    import uuid
-
-    counted = streams.counters(streams.unique(streams.read(spark, f"{sf}/events.parquet")))
-    return streams.drain(counted, f"windows_{uuid.uuid4().hex}")
+    # as many events late as the table holds: it is no log in order of arrival
+    return streams.drain(streams.counters(streams.unique(streams.read(spark, f"{sf}/events.parquet"), "3650 days")), "start", "event_type")
 
 
 @query(

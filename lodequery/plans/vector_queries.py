@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import blend, cosine, normalize, pair_features
 from ..operators import diagnostics, metrics, ranking, stats
+from .text_queries import CATEGORY, features_sql
 
 K = 10
 ALPHAS = (0.25, 0.5, 0.75)
@@ -278,13 +279,13 @@ def rank_change_counts(spark, sf):
 CELLS = f"""u as (select id, label, {UNIT('v')} as v from e), pos as (select label, generate_subscripts(v, 1) as place, unnest(v) as x from u),
 mean as (select label, place, avg(x) as x from pos group by 1, 2), cm as (select label as cell, list(x order by place) as m from mean group by 1), cell as (select cell, {UNIT('m')} as centroid from cm),
 near as (select q.id, cell, row_number() over (partition by q.id order by {cos_sql('q.v', 'centroid')} desc, cell) as n from e q, cell where q.id % 10 = 0),
-i_s as (select q.id as query_id, c.id as candidate_id, {cos_sql('q.v', 'c.v')} as score from near join e q on near.id = q.id join e c on c.label = near.cell where n <= 2 and q.id <> c.id),
+i_s as (select q.id as query_id, c.id as candidate_id, {cos_sql('q.v', 'c.v')} as score from near join e q on near.id = q.id join e c on c.label = near.cell where n <= 8 and q.id <> c.id),
 i as (select * from (select *, row_number() over (partition by query_id order by score desc, candidate_id) as rank from i_s) where rank <= {K})"""
 
 
 def _ivf(spark, sf):
     v = vectors(spark, sf).withColumn("cell", F.col("label"))
-    return ranking.cell_top_k(v, asked(v), ranking.centroids(v, "cell"), K, 2)
+    return ranking.cell_top_k(v, asked(v), ranking.centroids(v, "cell"), K, 8)
 
 
 @query(f"with {E}, {CELLS} select * from i")
@@ -329,7 +330,7 @@ def hard_negative_pool(spark, sf):
 
 
 def seed_sql(*parts):
-    return "('0x' || substr(sha256(" + " || '|' || ".join(f"{p}::varchar" for p in parts) + "), 1, 8))::bigint"
+    return "('0x' || substr(sha256(" + " || chr(0) || ".join(f"{p}::varchar" for p in parts) + "), 1, 8))::bigint"
 
 
 @query(f"with {E}, {NEG}, s as (select query_id, count(*) as c, {seed_sql(42, 'query_id')} as h from n group by 1) select n.query_id, n.candidate_id, n.score, n.rank from n join s using (query_id) where n.rank = h % c + 1")
@@ -421,7 +422,8 @@ def jaccard_overlap(spark, sf):
     return _stability(spark, sf).agg(F.round(F.avg("jaccard"), 6).alias("mean_jaccard"), F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.round(1 - F.avg("top1_kept"), 6).alias("top1_changed"))
 
 
-MOVE = """case when ap.first_rank is null and bp.first_rank is null then 'censored' when ap.first_rank is null then 'major_improvement' when bp.first_rank is null then 'major_regression'
+MOVE = """case when ap.first_rank is null or bp.first_rank is null then case when coalesce(ap.first_rank, 99) <= 5 and coalesce(bp.first_rank, 99) > 5 then 'major_regression'
+ when coalesce(bp.first_rank, 99) <= 5 and coalesce(ap.first_rank, 99) > 5 then 'major_improvement' else 'censored' end
  when ap.first_rank = bp.first_rank then 'unchanged' when bp.first_rank < ap.first_rank then case when abs(ap.first_rank - bp.first_rank) >= 5 then 'major_improvement' else 'minor_improvement' end
  else case when abs(ap.first_rank - bp.first_rank) >= 5 then 'major_regression' else 'minor_regression' end end"""
 
@@ -445,35 +447,91 @@ def metric_degradation(spark, sf):
     return m.select(F.round(d - c, 6).alias("delta"), F.round((c - d) / F.nullif(c, F.lit(0.0)), 6).alias("relative"), F.round(d / F.nullif(c, F.lit(0.0)), 6).alias("retention"))
 
 
-@query(f"with {E}, {A} select query_id, 'order' as finding from (select *, lag(score) over (partition by query_id order by rank) as p from a) where p < score")
+INVALID = "(-1, 5, 0.5::double, 1), (-1, 5, 0.4::double, 2), (-2, 7, 0.1::double, 1), (-2, 8, 0.9::double, 2), (-3, 4, 'nan'::double, 1), (-4, 9, 0.5::double, 1), (-4, 3, 0.5::double, 2)"
+
+
+@query(
+    f"""with {E}, {A}, r as (select query_id, candidate_id, score, rank from a union all select * from (values {INVALID}) v), p as (select *, lag(score) over w as ps, lag(candidate_id) over w as pc from r window w as (partition by query_id order by rank))
+select distinct query_id, finding from (select query_id, 'order' as finding from p where ps < score or (ps = score and pc >= candidate_id) union all select query_id, 'duplicate' from r group by query_id, candidate_id having count(*) > 1 union all select query_id, 'score' from r where score is null or not isfinite(score))"""
+)
 def ranking_validity(spark, sf):
-    return metrics.ranking_findings(system_a(spark, sf))
+    wrong = [(-1, 5, 0.5, 1), (-1, 5, 0.4, 2), (-2, 7, 0.1, 1), (-2, 8, 0.9, 2), (-3, 4, float("nan"), 1), (-4, 9, 0.5, 1), (-4, 3, 0.5, 2)]
+    return metrics.ranking_findings(system_a(spark, sf).select("query_id", "candidate_id", "score", "rank").union(spark.createDataFrame(wrong, "query_id long, candidate_id long, score double, rank long")))
+
+
+SEVERITY = "case when seen = 1 then 'success' when seen <= 5 then 'low' when seen <= 10 then 'medium' else 'high' end"
+
+
+def margin_sql(s):
+    """CTE {s}m (query_id, margin, margin_class) from {s}h."""
+    return f"""{s}w as (select query_id, max(case when rank = 1 then score end) as top, max(case when rank = 1 then hit end) as ok, max(case when hit = 1 then score end) as r from {s}h group by 1),
+{s}m as (select query_id, round(top - r, 6) as margin, case when r is null then 'target_not_in_retained_prefix' when ok = 1 then 'correct_top1' when round(top - r, 6) <= 0.02 then 'near_miss' when round(top - r, 6) <= 0.05 then 'ambiguous_close' else 'confident_wrong' end as margin_class from {s}w)"""
+
+
+def fail_sql(s):
+    """CTE {s}f of a system's failures, with the margin class."""
+    return f"""{s}n as (select query_id, count(*) as returned from {s} group by 1), {s}rk as (select {s}p.query_id, first_rank, coalesce(first_rank, coalesce(returned, 0) + 1) as seen from {s}p left join {s}n using (query_id)),
+{s}f as (select query_id, first_rank, seen <> 1 as top1_failure, seen > 5 as top5_failure, seen > 10 as severe_failure, {SEVERITY} as severity, margin_class from {s}rk left join {s}m using (query_id))"""
+
 
+FAIL = f"{E}, {REL}, {B}, {per_sql('b')}, {margin_sql('b')}, {fail_sql('b')}"
 
-SEVERITY = "case when coalesce(first_rank, 11) <= 1 then 'none' when coalesce(first_rank, 11) <= 5 then 'low' when coalesce(first_rank, 11) <= 10 then 'medium' else 'severe' end"
-FAIL = f"{E}, {REL}, {B}, {per_sql('b')}, f as (select query_id, first_rank, coalesce(first_rank > 1, true) as top1_failure, coalesce(first_rank > 5, true) as top5_failure, coalesce(first_rank > 10, true) as top10_failure, {SEVERITY} as severity from bp)"
 
+def _failures(system, spark, sf):
+    top, rel = system(spark, sf), qrels(spark, sf)
+    n = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"))
+    per = metrics.per_query(top, rel).join(n, "query_id", "left").withColumn("returned", F.coalesce("returned", F.lit(0)))
+    return diagnostics.failures(per).join(diagnostics.margin_classes(top, rel).drop("margin"), "query_id", "left")
 
-@query(f"with {FAIL} select * from f")
+
+@query(f"with {FAIL} select * exclude (margin_class) from bf")
 def failure_taxonomy(spark, sf):
-    return diagnostics.failures(per_b(spark, sf), K)
+    return _failures(system_b, spark, sf).drop("margin_class")
 
 
 @query(
-    f"with {FAIL} select count(*) as queries, "
-    + ", ".join(f"round(avg({c}::int::double), 6) as {c}_rate" for c in ("top1_failure", "top5_failure", "top10_failure"))
+    f"with {BOTH}, {margin_sql('a')}, {fail_sql('a')}, {margin_sql('b')}, {fail_sql('b')}, u as (select 'a' as system, * from af union all select 'b', * from bf) select system, count(*) as queries, "
+    + ", ".join(f"sum({c}::int)::bigint as {c}, round(avg({c}::int::double), 6) as {c}_rate" for c in ("top1_failure", "top5_failure", "severe_failure"))
+    + ", "
+    + ", ".join(f"sum((severity = '{s}')::int)::bigint as severity_{s}" for s in ("success", "low", "medium", "high"))
     + ", "
-    + ", ".join(f"sum((severity = '{s}')::int)::bigint as severity_{s}" for s in ("none", "low", "medium", "severe"))
-    + " from f"
+    + ", ".join(f"coalesce(sum((margin_class = '{m}')::int), 0)::bigint as {m}" for m in ("correct_top1", "near_miss", "ambiguous_close", "confident_wrong", "target_not_in_retained_prefix"))
+    + " from u group by 1"
 )
 def failure_summary(spark, sf):
-    return diagnostics.failure_summary(diagnostics.failures(per_b(spark, sf), K))
+    both = _failures(system_a, spark, sf).withColumn("system", F.lit("a")).unionByName(_failures(system_b, spark, sf).withColumn("system", F.lit("b")))
+    return diagnostics.failure_summary(both, ["system"])
+
+
+# a query's caption is the document of the same id
+QUERY_CAPTIONS = "cq as (select doc_id as caption_id, coalesce(text, '') as text from documents)"
+BY_FLAG = ["has_number_or_count_term", "has_attribute_term", "has_action_term", "has_spatial_term", "multiple_object_terms", "rare_token_present"]
+
+
+def _query_captions(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("caption_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query(
-    f"""with {E}, {REL}, {B}, {judged_sql('b')}, m as (select query_id, max(score) as top, max(case when hit = 1 then score end) as r from bh group by 1)
-select query_id, round(top - r, 6) as margin, case when r is null then 'target_not_in_retained_prefix' when round(top - r, 6) <= 0 then 'correct' when round(top - r, 6) <= 0.02 then 'near_miss' else 'clear_miss' end as margin_class from m"""
+    f"with {FAIL}, {QUERY_CAPTIONS}, {features_sql('cq')}, ff as (select * from bf join ft on bf.query_id = ft.caption_id), u as (select 'caption_length_bin' as feature, case when word_count <= 3 then 'short_0_3' when word_count <= 8 then 'medium_4_8' else 'long_9_plus' end as value, * from ff"
+    + "".join(f" union all select '{x}', 'true', * from ff where {x}" for x in BY_FLAG)
+    + ") select feature, value, count(*) as queries, "
+    + ", ".join(f"sum({c}::int)::bigint as {c}, round(avg({c}::int::double), 6) as {c}_rate" for c in ("top1_failure", "top5_failure", "severe_failure"))
+    + " from u group by 1, 2"
 )
+def failures_by_caption_feature(spark, sf):
+    f = _failures(system_b, spark, sf).withColumnRenamed("query_id", "caption_id")
+    return diagnostics.failures_by_feature(f, diagnostics.caption_features(_query_captions(spark, sf)))
+
+
+@query(f"with {FAIL}, {QUERY_CAPTIONS}, {features_sql('cq')}, k as ({CATEGORY}) select category, label_source, count(*) as failures, count(distinct caption_id) as queries from k join bf on bf.query_id = k.caption_id where top1_failure group by 1, 2")
+def failure_categories(spark, sf):
+    f = _failures(system_b, spark, sf).filter("top1_failure").select(F.col("query_id").alias("caption_id"))
+    found = diagnostics.categories(diagnostics.caption_features(_query_captions(spark, sf))).join(f, "caption_id", "left_semi")
+    return found.groupBy("category", "label_source").agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("caption_id").alias("queries"))
+
+
+@query(f"with {E}, {REL}, {B}, {judged_sql('b')}, {margin_sql('b')} select query_id, margin, margin_class from bm")
 def score_margin_classes(spark, sf):
     return diagnostics.margin_classes(system_b(spark, sf), qrels(spark, sf))
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,37 +17,40 @@ from pyspark.sql import functions as F
 CAPTIONS = "array<struct<caption_id:string,text:string>>"
 
 
+#: Fixed value: the path of an image that opens a group.
+JPEG = re.compile(r"(?:^|/)([0-9]+)\.jpg$", re.IGNORECASE)
+
+
 class _CaptionPage(HTMLParser):
-    """Links to JPEG files open a group, list items are its captions, a notice opens a group without file."""
+    """Links to JPEG files open a group, list items are its captions, a notice opens a group without file.
+
+    Such a group is numbered by its place among all groups of the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.records: list[dict] = []
         self.item: list[str] | None = None
-        self.missing = 0
 
     def handle_starttag(self, tag, attrs):
-        href = dict(attrs).get("href") or ""
-        if tag == "a" and href.lower().endswith(".jpg"):
-            name = href.rsplit("/", 1)[-1]
-            self.records.append({"group_id": name[:-4], "filename": name, "captions": []})
-        elif tag == "li":
+        if tag == "a" and (file := JPEG.search(urlsplit(dict(attrs).get("href") or "").path)):
+            self.records.append({"group_id": file[1], "filename": f"{file[1]}.jpg", "captions": []})
+        elif tag == "li" and self.records:
             self.item = []
 
     def handle_endtag(self, tag):
         if tag == "li" and self.item is not None:
             text = " ".join("".join(self.item).split())
-            if text and self.records:
+            if text:
                 group = self.records[-1]
                 group["captions"].append({"caption_id": f"{group['group_id']}#{len(group['captions'])}", "text": text})
             self.item = None
 
     def handle_data(self, data):
+        if data.strip().casefold() == "image not found":
+            self.records.append({"group_id": f"missing-source-image-{len(self.records) + 1:06d}", "filename": None, "captions": []})
         if self.item is not None:
             self.item.append(data)
-        elif "image not found" in data.lower():
-            self.missing += 1
-            self.records.append({"group_id": f"missing-source-image-{self.missing:06d}", "filename": None, "captions": []})
 
 
 def parse_caption_page(html: str | None) -> list[dict]:
@@ -160,24 +165,58 @@ def load_index(spark: SparkSession, path: str, **parameters) -> DataFrame:
 
 def image_header(data: bytes) -> tuple[str, int, int] | None:
     """(format, width, height) from the first bytes of PNG, GIF, JPEG, WebP and PPM files."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return ("png", *struct.unpack(">II", data[16:24]))
+    found = image_metadata(data)
+    return found[:3] if found else None
+
+
+#: Channels and mode of a PNG's colour type, and the mode of a JPEG's number of components.
+PNG_KINDS = {0: (1, "L"), 2: (3, "RGB"), 3: (1, "P"), 4: (2, "LA"), 6: (4, "RGBA")}
+JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
+
+
+def image_metadata(data: bytes) -> tuple[str, int, int, int | None, str | None] | None:
+    """(format, width, height, channels, mode); the last two null where the header doesn't tell."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 26:
+        return ("png", *struct.unpack(">II", data[16:24]), *PNG_KINDS.get(data[25], (None, None)))
     if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
-        return ("gif", *struct.unpack("<HH", data[6:10]))
+        return ("gif", *struct.unpack("<HH", data[6:10]), 3, "P")
     if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8X" and len(data) >= 30:
         size = lambda at: 1 + int.from_bytes(data[at : at + 3], "little")
-        return ("webp", size(24), size(27))
+        return ("webp", size(24), size(27), None, None)
     if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data) and data[at] == 0xFF:
-            marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                return ("jpeg", width, height)
-            at += 2 + length
-        return None
+        return _jpeg_frame(data)
     pixels = read_ppm(data)
-    return ("ppm", len(pixels[0]), len(pixels)) if pixels else None
+    return ("ppm", len(pixels[0]), len(pixels), *((3, "RGB") if data[1:2] == b"6" else (1, "L"))) if pixels else None
+
+
+def _jpeg_frame(data: bytes) -> tuple[str, int, int, int | None, str | None] | None:
+    """The first frame header of a JPEG: segments may be led by any number of fill bytes, and markers without a length stand alone."""
+    at = 2
+    while (at := data.find(b"\xff", at)) >= 0:
+        while data[at : at + 1] == b"\xff":
+            at += 1
+        if at + 3 > len(data):
+            return None
+        marker, at = data[at], at + 1
+        if marker == 0 or marker in (0xD8, 0xD9) or 0xD0 <= marker <= 0xD7:
+            continue
+        length = int.from_bytes(data[at : at + 2], "big")
+        if length < 2 or at + length > len(data):
+            return None
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and length >= 8:
+            height, width, parts = struct.unpack(">HHB", data[at + 3 : at + 8])
+            return ("jpeg", width, height, parts, JPEG_MODES.get(parts))
+        at += length
+    return None
+
+
+def image_complete(data: bytes) -> bool:
+    """Whether a file has a known header and, where its format has one, its terminator."""
+    found = image_metadata(data)
+    if found is None:
+        return False
+    end = {"png": b"IEND\xaeB`\x82", "jpeg": b"\xff\xd9", "gif": b";"}.get(found[0], b"")
+    return data.rstrip(b"\0").endswith(end) or data.endswith(end)
 
 
 def read_ppm(data: bytes) -> list[list[tuple[int, int, int]]] | None:
@@ -209,7 +248,8 @@ def colour_histogram(pixels: list[list[tuple[int, int, int]]], bins: int = 8, gr
     """Histograms of each channel over the image and over grid x grid cells, together of sum 1: 3 * bins * (1 + grid**2) values."""
     height, width = len(pixels), len(pixels[0])
     out: list[float] = []
-    cells = [(0, height, 0, width)] + [(height * i // grid, height * (i + 1) // grid, width * j // grid, width * (j + 1) // grid) for i in range(grid) for j in range(grid)]
+    first = lambda i, n: -(-i * n // grid)  # the first place of n whose cell is i
+    cells = [(0, height, 0, width)] + [(first(i, height), first(i + 1, height), first(j, width), first(j + 1, width)) for i in range(grid) for j in range(grid)]
     for a, b, c, d in cells:
         for channel in range(3):
             counts, n = [0] * bins, (b - a) * (d - c)
@@ -222,8 +262,8 @@ def colour_histogram(pixels: list[list[tuple[int, int, int]]], bins: int = 8, gr
 
 
 def images(files: DataFrame) -> DataFrame:
-    """binaryFile rows -> (path, bytes, sha256, format, width, height, histogram); unreadable files have null sizes."""
-    schema = "path string, bytes long, sha256 string, format string, width int, height int, histogram array<double>"
+    """binaryFile rows -> (path, bytes, sha256, format, width, height, channels, mode, complete, histogram); unreadable files have null sizes."""
+    schema = "path string, bytes long, sha256 string, format string, width int, height int, channels int, mode string, complete boolean, histogram array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -231,14 +271,87 @@ def images(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head, pixels = image_header(content or b""), read_ppm(content or b"")
-                out.append((path, len(content or b""), hashlib.sha256(content or b"").hexdigest(), *(head or (None, None, None)), colour_histogram(pixels) if pixels else None))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+                head, pixels = image_metadata(content or b""), read_ppm(content or b"")
+                out.append((path, len(content or b""), hashlib.sha256(content or b"").hexdigest(), *(head or (None,) * 5), image_complete(content or b""), colour_histogram(pixels) if pixels else None))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 10, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def image_statistics(scanned: DataFrame, small: int = 64, large: int = 10_000_000) -> DataFrame:
+    """One row about readable images: sizes, small, large and long ones, and those whose contents repeat."""
+    known = scanned.filter(F.col("width").isNotNull())
+    ratio = F.col("width") / F.col("height")
+    numbers = lambda c, n: [F.min(c).alias(f"{n}_min"), F.round(F.percentile(c, 0.5), 6).alias(f"{n}_median"), F.max(c).alias(f"{n}_max")]
+    sums = known.agg(
+        F.count(F.lit(1)).alias("images"),
+        *numbers(F.col("width"), "width"),
+        *numbers(F.col("height"), "height"),
+        F.round(F.avg(ratio), 6).alias("aspect_mean"),
+        F.count_if((F.col("width") < small) | (F.col("height") < small)).alias("small"),
+        F.count_if(F.col("bytes") > large).alias("large"),
+        F.count_if((ratio < 0.5) | (ratio > 2.0)).alias("extreme_aspect"),
+    )
+    unread = scanned.agg(F.count_if(F.col("width").isNull()).alias("unreadable"))
+    twice = scanned.groupBy("sha256").count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_groups"))
+    return sums.crossJoin(F.broadcast(unread)).crossJoin(F.broadcast(twice))  # one row each
+
+
+def histogram_search(scanned: DataFrame, query_paths: list[str], k: int) -> DataFrame:
+    """(query_id, candidate_id, score, rank) by histogram intersection; the queries are a stated list of paths, themselves left out."""
+    h = scanned.filter(F.col("histogram").isNotNull())
+    q = h.filter(F.col("path").isin(query_paths)).select(F.col("path").alias("query_id"), F.col("histogram").alias("q"))
+    pairs = h.select(F.col("path").alias("candidate_id"), "histogram").join(F.broadcast(q), F.col("candidate_id") != F.col("query_id"))
+    scores = pairs.select("query_id", "candidate_id", F.round(intersection(F.col("q"), F.col("histogram")), 6).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
+    return scores.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+
+
+def gallery(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, filename, finding) of an image list, a JSON array or an object with `images`; ids as numbers, in any order.
+
+    finding tells of ids that are no numbers, file names that are empty or hold a path, and ids that repeat.
+    """
+    entry = "array<struct<id:string,file_name:string>>"
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    entries = F.when(F.col("value").startswith("["), F.from_json("value", entry)).otherwise(F.from_json("value", f"images {entry}")["images"])
+    rows = text.select(F.explode(entries).alias("e")).select(normal_id(F.col("e.id")).alias("image_id"), F.trim(F.coalesce("e.file_name", F.lit(""))).alias("filename"))
+    twice = F.count(F.lit(1)).over(W.partitionBy("image_id")) > 1
+    finding = F.when(F.col("image_id").isNull(), "invalid_id").when((F.col("filename") == "") | F.col("filename").rlike(r"[/\\]"), "invalid_filename").when(twice, "duplicate_id")
+    return rows.withColumn("finding", finding)
+
+
+def settings(text: str, defaults: dict, least: dict | None = None) -> dict:
+    """A TOML document's values over defaults, section by section; ValueError for unknown keys, other types, and numbers below `least`."""
+    import tomllib
+
+    def merge(base: dict, given: dict, place: str) -> dict:
+        if unknown := sorted(set(given) - set(base)):
+            raise ValueError(f"unknown settings: {', '.join(place + k for k in unknown)}")
+        out = dict(base)
+        for k, v in given.items():
+            if isinstance(base[k], dict) != isinstance(v, dict) or (not isinstance(v, dict) and type(v) is not type(base[k]) and not (isinstance(base[k], float) and isinstance(v, int))):
+                raise ValueError(f"{place}{k} must be like {base[k]!r}")
+            out[k] = merge(base[k], v, f"{place}{k}.") if isinstance(v, dict) else v
+        return out
+
+    found = merge(defaults, tomllib.loads(text), "")
+    for key, low in (least or {}).items():
+        value = found
+        for part in key.split("."):
+            value = value[part]
+        if value < low:
+            raise ValueError(f"{key} must be at least {low}")
+    return found
+
+
+def manifest_summary(records: DataFrame, **properties: str) -> DataFrame:
+    """One row about records (group_id, filename, captions): properties, groups, captions and groups without a file."""
+    names = [F.lit(v).alias(k) for k, v in sorted(properties.items())]
+    return records.agg(F.count(F.lit(1)).alias("groups"), F.sum(F.size("captions")).alias("captions"), F.count_if(F.col("filename").isNull()).alias("without_file")).select(*names, "*")
+
+
 def intersection(a, b):
     """Likeness of two histograms: the sum of the smaller shares."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, x: s + x)

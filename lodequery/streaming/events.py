@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -29,9 +33,31 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return per.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there and returns its rows as a table."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share: spark.checkpoint.dir, or where that is unset (local tests) a fresh one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodequery-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def drain(stream: DataFrame, *keys: str) -> DataFrame:
+    """Runs an aggregated stream over what is there and returns its rows, also those of windows that are still open.
+
+    Every batch writes the groups that it changed to the shared folder; the last version of a group, by its keys, counts.
+    """
+    path = f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+    written = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+    others = [c for c in stream.columns if c not in keys]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}") for c in stream.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions import text as T
 from lodequery.functions.vectors import well_formed
-from lodequery.operators import diagnostics, lexical, metrics, profile, ranking, stats
+from lodequery.operators import comparison, diagnostics, lexical, metrics, profile, ranking, stats
 from lodequery.operators.ordering import numbered
 from lodequery.sources import records
 
@@ -49,7 +49,7 @@ def test_ties_go_by_id(spark):
 
 
 def test_movement(spark):
-    rows = [(8, 2, "major_improvement"), (2, 3, "minor_regression"), (2, 2, "unchanged"), (None, 3, "major_improvement"), (None, None, "censored")]
+    rows = [(8, 2, "major_improvement"), (2, 3, "minor_regression"), (2, 2, "unchanged"), (None, 3, "major_improvement"), (3, None, "major_regression"), (None, None, "censored"), (None, 7, "censored"), (9, None, "censored")]
     df = spark.createDataFrame(rows, "a int, b int, want string")
     assert df.filter(metrics.movement(F.col("a"), F.col("b")) != F.col("want")).count() == 0
 
@@ -174,6 +174,67 @@ def test_text_functions(spark):
     assert [r.d for r in one] == ["alone", ""] and one[0].y == "laone" and one[1].y == "" and one[0].j == 1.0
 
 
+def test_corruptions_by_hand(spark):
+    one = lambda c, **cols: spark.range(1).select(*[F.lit(v).alias(k) for k, v in cols.items()]).select(c).first()[0]
+    # of three words or more the first stays: seed 3 of 4 places begins at the last and goes round
+    assert one(T.delete_words(F.col("t"), F.lit(3), None), t="a b c d e") == "a b c d"
+    assert one(T.delete_words(F.col("t"), F.lit(3), 0.3), t="a b c d e") == "a c d"
+    assert one(T.delete_words(F.col("t"), F.lit(1), None), t="a b") == "a" and one(T.delete_words(F.col("t"), F.lit(1), None), t=" a ") == " a "
+    # places 0, 1, 2 of "abcd"; seed 17 swaps 2 and marks (1 + 1) % 3 = 2, which is taken; seed 0 marks 1, next to 0; seed 34 marks 0
+    assert [one(T.typo(F.col("t"), F.lit(s), True), t="abcd") for s in (17, 0, 35)] == ["abdc", "bacd", "xbdc"]
+    assert one(T.without_token(T.pieces(F.col("t")), F.lit(1)), t="( a b ) 5 % {x} !") == "(b) 5% {x}!"
+    assert one(T.without_token(T.pieces(F.col("t")), F.lit(0)), t="a") == "[MASK]"
+    import hashlib
+
+    assert one(T.stable_seed(F.col("a"), F.col("b")), a="x", b="y") == int.from_bytes(hashlib.sha256(b"x\0y").digest()[:4], "big")
+    kinds = ["dog", "Eating", "blue", "on", "the", "car", "x"]
+    want = ["object_heuristic", "action_heuristic", "attribute_heuristic", "spatial_heuristic", "stopword_like_heuristic", "other_token", "other_token"]
+    assert [one(T.token_category(F.col("t")), t=k) for k in kinds] == want
+
+
+def test_caption_features_by_hand(spark):
+    rows = [("a", "Two red dogs and a dog run on 3 boats"), ("b", "a man"), ("c", ""), ("d", "zzz yyy a man run on it"), ("e", "zzz yyy two red dogs run on it")]
+    got = {r.caption_id: r for r in diagnostics.caption_features(spark.createDataFrame(rows, "caption_id string, text string")).collect()}
+    a = got["a"]
+    assert (a.word_count, a.number_terms, a.attribute_terms, a.action_terms, a.spatial_terms, a.object_terms) == (10, ["3", "two"], ["red"], ["run"], ["on"], ["dog"])
+    assert not a.multiple_object_terms and a.rare_token_count == 4 and a.rare_token_fraction == 0.4  # and, dog, 3, boats
+    assert got["b"].short_caption and got["b"].object_terms == ["man"] and got["c"].word_count == 0 and not got["c"].rare_token_present
+    kinds = {(r.caption_id, r.category) for r in diagnostics.categories(diagnostics.caption_features(spark.createDataFrame([*rows, ("f", "it it it it")], "caption_id string, text string"))).collect()}
+    assert {k for i, k in kinds if i == "a"} == {"object_confusion", "attribute_confusion", "action_confusion", "counting_quantity", "spatial_relation", "lexical_ambiguity"}
+    assert {k for i, k in kinds if i == "c"} == {"short_underspecified_query"} and {k for i, k in kinds if i == "f"} == {"other_unclassified"}
+
+
+def test_strata_by_hand(spark):
+    c = spark.createDataFrame([("a", "Two dogs and a dog"), ("b", "the of"), ("c", "dog and cat"), ("d", " "), ("e", "dog")], "caption_id string, text string")
+    train = spark.createDataFrame([("t", "dog " * 60 + "cat " * 5)], "caption_id string, text string")
+    got = {r.caption_id: (r.length, r.rarity, r.complexity) for r in diagnostics.caption_strata(c, train).collect()}
+    many, one = "multi_object_or_structured", "single_object_or_simple"
+    assert got == {"a": ("short", "rare", many), "b": ("short", "unknown", one), "c": ("short", "medium", many), "e": ("short", "common", one)}
+
+
+def test_margins_by_hand(spark):
+    r = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.89, 2), (2, 10, 0.9, 1), (2, 11, 0.86, 2), (3, 10, 0.9, 1), (3, 11, 0.5, 2), (4, 10, 0.9, 1), (5, 11, 0.7, 1)], "query_id long, candidate_id long, score double, rank long")
+    q = spark.createDataFrame([(i, 11, 1.0) for i in (1, 2, 3, 4, 5)], "query_id long, candidate_id long, gain double")
+    got = {x.query_id: x.margin_class for x in diagnostics.margin_classes(r, q).collect()}
+    assert got == {1: "near_miss", 2: "ambiguous_close", 3: "confident_wrong", 4: "target_not_in_retained_prefix", 5: "correct_top1"}
+
+
+def test_line_findings_by_hand(spark):
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", "ghp-abcdefghijklmnop12", "client_secret: abcdefghijklmnop", "password=short", "token = abcdefghijklmnopqrst", "a /Users/me/x", "x/home/me"]
+    got = {(r.line, r.finding) for r in diagnostics.line_findings(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert got == {(1, "private_key"), (2, "token_prefix"), (3, "credential_assignment"), (6, "absolute_path")}
+
+
+def test_histogram_cells_of_odd_sizes():
+    red, blue = (255, 0, 0), (0, 0, 255)
+    h = records.colour_histogram([[red], [red], [blue]], bins=1, grid=2)
+    assert sum(h) == pytest.approx(1.0)
+    # rows 0 and 1 are in the upper cells, row 2 in the lower ones
+    two = records.colour_histogram([[red], [red], [blue]], bins=2, grid=2)
+    upper, lower = two[6:12], two[18:24]
+    assert upper[1] > 0 and upper[0] == 0 and lower[0] > 0 and lower[1] == 0
+
+
 def test_profile_by_hand(spark):
     c = spark.createDataFrame([("1#0", 1, "A dog."), ("1#1", 1, "one two three four"), ("2#0", 2, " a   dog. "), ("2#1", 2, "")], "caption_id string, group_id long, text string")
     s = profile.caption_statistics(c, short=3, long=3).first()
@@ -198,14 +259,15 @@ def test_manifest_rules(spark):
 
 
 def test_strata_pareto_disparity(spark):
-    sizes = spark.createDataFrame([(100, 100, "near_square"), (200, 100, "extreme"), (100, 200, "extreme"), (120, 100, "moderate")], "w int, h int, want string")
+    sizes = spark.createDataFrame([(100, 100, "near_square"), (200, 100, "wide_or_tall_extreme"), (100, 200, "wide_or_tall_extreme"), (120, 100, "moderate_aspect")], "w int, h int, want string")
     assert sizes.filter(diagnostics.aspect_strata(F.col("w"), F.col("h")) != F.col("want")).count() == 0
     p = spark.createDataFrame([("slow_best", 0.99, 10.0), ("fast_good", 0.98, 2.0), ("worse", 0.97, 5.0)], "name string, quality double, cost double")
     assert {r.name for r in diagnostics.pareto(p).collect()} == {"slow_best", "fast_good"}
     g = spark.createDataFrame([("f", "a", 30, 0.8), ("f", "b", 30, 0.6), ("f", "c", 3, 0.1)], "family string, label string, n long, top1 double")
     r = diagnostics.disparity(g, "top1").first()
     assert (r.best, r.worst, r.gap) == ("a", "b", pytest.approx(0.2))
-    assert spark.range(1).select(diagnostics.severity(F.lit(None).cast("long"), F.lit(10))).first()[0] == "severe"
+    assert spark.range(1).select(diagnostics.severity(F.lit(None).cast("long"), F.lit(10))).first()[0] == "high"
+    assert spark.range(1).select(diagnostics.severity(F.lit(None).cast("long"), F.lit(3))).first()[0] == "low"
     log = spark.createDataFrame([("read /home/me/x token=abc",)], "m string").select(diagnostics.redact_log(F.col("m"))).first()[0]
     assert log == "read [path] token=[redacted]"
 
@@ -215,7 +277,7 @@ PAGE = """<a href="http://h/123.jpg">x</a><ul><li> one  two </li><li>b</li></ul>
 
 def test_caption_pages(spark):
     got = records.caption_pages(spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")).collect()
-    assert [r.group_id for r in got] == ["123", "missing-source-image-000001", "456"]
+    assert [r.group_id for r in got] == ["123", "missing-source-image-000002", "456"]
     assert got[0].captions[0].caption_id == "123#0" and got[0].captions[0].text == "one two" and got[1].filename is None
 
 
@@ -257,16 +319,28 @@ def test_images(spark, tmp_path):
     assert len(r) == 120 and sum(r) == pytest.approx(1.0)
     pair = spark.createDataFrame([(r, r), (r, b)], "a array<double>, b array<double>").select(records.intersection(F.col("a"), F.col("b")).alias("i")).collect()
     assert pair[0].i == pytest.approx(1.0) and pair[1].i < 0.5
-    jpeg = b"\xff\xd8\xff\xe0\x00\x04\x00\x00\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x00"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04\x00\x00\xff\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01\x00\x00\x00"
     assert records.image_header(jpeg) == ("jpeg", 32, 16) and records.image_header(b"GIF89a" + struct.pack("<HH", 3, 4)) == ("gif", 3, 4)
 
 
+def test_settings():
+    base = {"search": {"k": 10, "alpha": 0.5}, "name": "x"}
+    assert records.settings("name = 'y'\n[search]\nalpha = 1", base) == {"search": {"k": 10, "alpha": 1}, "name": "y"}
+    for text in ("other = 1", "[search]\nk = 'ten'", "search = 3", "[search]\nk = 0"):
+        with pytest.raises(ValueError):
+            records.settings(text, base, {"search.k": 1})
+
+
+def test_protected_labels(spark):
+    g = spark.createDataFrame([("Gender", 1), ("fine", 2)], "label string, AGE int")
+    assert {tuple(r) for r in comparison.protected_labels(g, "label").collect()} == {("AGE", "column"), ("Gender", "label")}
+
+
 def test_streams_match_batches(spark, tmp_path):
     from lodequery.streaming import events
 
     rows = spark.sql("select id as event_id, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id * 37) as ts, id % 3 as user_id, 'k' as event_type, 1.0 as value from range(200)")
     rows.write.parquet(str(tmp_path / "e"))
-    live = events.drain(events.counters(events.unique(events.read(spark, str(tmp_path / "e")))), "golden_windows")
-    batch = {(r.start, r.n) for r in events.counters(rows).collect()}
-    assert {(r.start, r.n) for r in live.collect()} <= batch and live.count() > 0
+    live = events.drain(events.counters(events.unique(events.read(spark, str(tmp_path / "e")))), "start", "event_type")
+    assert sorted(live.collect()) == sorted(events.counters(rows).collect())
     assert events.sessions(rows).agg(F.sum("n")).first()[0] == 200

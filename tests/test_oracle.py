@@ -3,6 +3,7 @@
 import os
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -18,7 +19,7 @@ def canonical(df):
     for row in df[columns].itertuples(index=False):
         out = []
         for v in row:
-            if v is None or v != v:
+            if pd.isna(v):
                 out.append(None)
             elif isinstance(v, bool) or type(v).__name__ == "bool_":
                 out.append(bool(v))

@@ -45,7 +45,7 @@ def op8_packing(spark, sf_dir):
 
 
 def op9_lm_score(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = lm.encoded(table(spark, sf_dir, "documents"))
     return lm.score(docs, lm.fit(docs))
 
 

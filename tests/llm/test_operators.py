@@ -419,6 +419,13 @@ def test_special_token_text():
 # 9
 
 
+@pytest.fixture
+def few_classes(monkeypatch):
+    monkeypatch.setattr(lm, "OWN_CLASS", 20)
+    monkeypatch.setattr(lm, "CLASSES", 3)
+    monkeypatch.setattr(lm, "CLASS_SIZE", 4)
+
+
 def test_base_scores_match_a_loop(odd, none):
     model = lm.fit(odd, steps=3)
     counts, texts = Counter(), []
@@ -437,13 +444,14 @@ def test_base_scores_match_a_loop(odd, none):
     assert lm.score(none, model).count() == 0
 
 
-def tiny_model(losses=False):
+def tiny_model():
+    """The first twenty ids by frequency have classes of their own, the next twelve share three; the rest is the last class."""
     rng = np.random.default_rng(0)
     sequences = [np.append(np.tile([5, 6, 7, 8], 30)[: int(rng.integers(20, 110))], 99) for _ in range(30)]
-    return lm.train(sequences, 100, 99, np.zeros(100, np.int64), steps=120)
+    return lm.train(sequences, 100, 99, steps=120)
 
 
-def test_training_learns_order():
+def test_training_learns_order(few_classes):
     model, losses = tiny_model()
     assert losses[-1] < 0.5 * losses[0]
     scorer = lm.Scorer(model)
@@ -451,20 +459,27 @@ def test_training_learns_order():
     assert good > bad + 10
 
 
-def test_every_id_is_scored_once_and_probabilities_sum_to_one():
+def _first(scorer, i):
+    """Log probability of an id after the start alone, by a window of one input."""
+    total = np.zeros(1)
+    scorer._add(total, np.array([[scorer.m.end, i]]), np.array([0]), 0)
+    return total[0]
+
+
+def test_every_id_is_scored_once_and_probabilities_sum_to_one(few_classes):
     model, _ = tiny_model()
     scorer = lm.Scorer(model, window_batch=2)
     for n in (0, 1, 63, 64, 65, 111, 112, 113, 500):
         scored = sum(min(lm.WINDOW, n + 1 - start) - first for start, first in scorer.windows(n + 1))
         assert scored == n + 1
     one = scorer([np.array([], int)])[0]
-    every = sum(math.exp(scorer([np.array([i])])[0] - 0) for i in range(100))
-    assert one < 0 and every <= 1.0 + 1e-6
+    first = sum(math.exp(_first(scorer, i)) for i in range(100))
+    assert one < 0 and first == pytest.approx(1.0, abs=1e-4)
     many, alone = scorer([np.arange(5, 9), np.arange(20, 60)]), scorer([np.arange(20, 60)])
     assert many[1] == pytest.approx(alone[0], rel=1e-5)
 
 
-def test_windows_keep_their_context_and_match_a_loop():
+def test_windows_keep_their_context_and_match_a_loop(few_classes):
     assert (lm.WINDOW, lm.OVERLAP, lm.WIDTH) == (64, 16, 24)
     m, _ = tiny_model()
     scorer, rng = lm.Scorer(m, window_batch=3), np.random.default_rng(4)
@@ -479,7 +494,12 @@ def test_windows_keep_their_context_and_match_a_loop():
                 a = np.exp(a - a.max())
                 h = np.tanh(x[-1] @ m.own + (a / a.sum()) @ (x @ m.value) @ m.seen + m.shift)
                 z = h @ m.out + m.out_shift
-                out += z[m.classes[whole[p + 1]]] - np.log(np.exp(z).sum()) + m.within[whole[p + 1]]
+                goal = whole[p + 1]
+                out += z[m.classes[goal]] - np.log(np.exp(z).sum()) + m.within[goal]
+                if m.inner[goal] >= 0:
+                    kind = m.classes[goal] - lm.OWN_CLASS
+                    z = h @ m.fine[kind] + m.fine_shift[kind]
+                    out += z[m.inner[goal]] - np.log(np.exp(z).sum())
         return out
 
     assert scorer(texts) == pytest.approx([one(t) for t in texts], rel=1e-4)
@@ -498,31 +518,33 @@ def test_fit_reads_every_training_text(spark, odd):
     for i, t in texts.items():
         if zlib.crc32(str(i).encode()) % 5 != lm.HELD_OUT:
             np.add.at(counts, np.append(tok.encode(t), end), 1)
-    classes, within = lm.make_classes(counts, lm._spaced(tok))
-    assert (model.classes == classes).all() and np.allclose(model.within, within, atol=1e-5)
-    fresh = lm.untrained(tok.size, end, counts, lm._spaced(tok))
+    classes, inner, within = lm.make_classes(counts)
+    assert (model.classes == classes).all() and (model.inner == inner).all() and np.allclose(model.within, within, atol=1e-5)
+    fresh = lm.untrained(tok.size, end, counts)
     moved = (model.embed != fresh.embed).any(1)
     assert moved[tok.encode(long)[1:]].all()
 
 
-def test_gradients():
+def test_gradients(few_classes):
     model, _ = tiny_model()
     for k in model.PARTS:
         setattr(model, k, getattr(model, k).astype(float))
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 100, (2, lm.WINDOW))
-    targets, real = model.classes[rng.integers(0, 100, (2, lm.WINDOW))], np.ones((2, lm.WINDOW), bool)
+    targets, real = rng.integers(0, 100, (2, lm.WINDOW)), rng.random((2, lm.WINDOW)) < 0.9
     _, g = lm.step(model, ids, targets, real)
-    for k in ("query", "key", "value", "seen", "out", "back"):
+    for k in ("query", "key", "value", "seen", "out", "back", "fine", "fine_shift"):
         p = getattr(model, k)
         at = tuple(int(x) // 2 for x in p.shape)
+        if k.startswith("fine"):
+            at = (int(g["used"][0]), *at[1:-1], 1)
         old, h = p[at], 1e-5
         p[at] = old + h
         up = lm.step(model, ids, targets, real)[0]
         p[at] = old - h
         down = lm.step(model, ids, targets, real)[0]
         p[at] = old
-        assert g[k][at] == pytest.approx((up - down) / (2 * h), rel=1e-3, abs=1e-7)
+        assert g[k][(0, *at[1:]) if k.startswith("fine") else at] == pytest.approx((up - down) / (2 * h), rel=1e-3, abs=1e-7)
 
 
 # 10

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, norm, normalize
+from ..functions.vectors import cosine, dot, normalize, well_formed
 
-#: Queries that are scored together; a block of them is what each machine holds.
-QUERY_BLOCK = 4096
+#: Queries and gallery vectors that are multiplied at once, and the bytes of queries that are sent to every machine.
+QUERY_BLOCK, CHUNK = 1024, 4096
+SMALL_BYTES = 64 << 20
 
 
 def rank_within(scores: DataFrame, *partition: str, k: int | None = None) -> DataFrame:
@@ -28,76 +29,77 @@ def rank_within(scores: DataFrame, *partition: str, k: int | None = None) -> Dat
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def _local_top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of a row of scores, ties by id."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        places = np.flatnonzero(scores >= edge)
+def _chunk_top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best finite scores of every row, ties by id."""
+    if scores.shape[1] > k:
+        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        rows, columns = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
     else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))][:k]
+        rows, columns = np.nonzero(scores > -np.inf)
+    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    return rows[place < k], columns[place < k]
 
 
 def exact_top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK, unit_queries: bool = True, apart: str | None = None) -> DataFrame:
     """Cosine top-k of every query (id, embedding) over the whole gallery (id, embedding); with unit_queries off, the queries keep their length.
 
-    The queries are a stated set and go block by block; each block is multiplied with every
-    partition of the gallery, which reports its own k best, so what is shuffled is k rows for each
-    query and partition and never a row for each pair. Vectors that are null, empty, zero or not
-    finite match nothing; k beyond the gallery returns all of it. With `apart`, a column of both
-    tables, candidates with the query's value in it are left out, and rows where it is null match nothing.
+    The queries are a stated set, packed into blocks, the gallery into chunks. Every chunk meets
+    every block in one matrix product, which reports its k best of each query, so what is shuffled
+    is k rows for each query and chunk and never a row for each pair. The blocks are sent to all
+    machines where they are small, else chunks and blocks are dealt by block and chunk. Vectors
+    that are null, empty, zero or not finite match nothing; k beyond the gallery returns all of it.
+    With `apart`, a column of both tables, candidates with the query's value in it are left out,
+    and rows where it is null match nothing.
     """
-    results, rows = [], []
     extra = [apart] if apart else []
+    group = F.col(apart).cast("string") if apart else F.lit("")
+    g = usable(gallery, *extra).select("id", F.col("embedding").cast("array<double>").alias("embedding"), group.alias("apart"))
+    q = usable(queries, *extra).select("id", F.col("embedding").cast("array<double>").alias("embedding"), group.alias("apart"))
+    n, one = queries.count(), g.select(F.size("embedding")).first()
+    blocks = max(1, -(-n // block))
 
-    def score(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows], np.int64)
-        matrix = np.array([r[1] for r in rows], float)
-        if unit_queries:
-            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = gallery.sparkSession.sparkContext.broadcast((ids, matrix, [r[2] for r in rows] if apart else None))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, queries_, groups = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0)) for _ in query_ids]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                candidates = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = batch.column(1)
-                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(candidates), -1)
-                flat /= np.linalg.norm(flat, axis=1, keepdims=True)
-                product = np.round(queries_ @ flat.T, 6)
-                theirs = batch.column(2).to_numpy(zero_copy_only=False) if apart else None
-                for i, q in enumerate(query_ids):
-                    take = candidates != q if exclude_self else np.ones(len(candidates), bool)
-                    if apart:
-                        take &= theirs != groups[i]
-                    names, values = np.concatenate([best[i][0], candidates[take]]), np.concatenate([best[i][1], product[i][take]])
-                    top = _local_top(names, values, k)
-                    best[i] = (names[top], values[top])
-            if any(len(b[0]) for b in best):
-                columns = [np.repeat(query_ids, [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "candidate_id", "score"])
-
-        return usable(gallery, *extra).mapInArrow(run, "query_id long, candidate_id long, score double")
-
-    for row in usable(queries, *extra).toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            results.append(score(rows))
-            rows = []
-    if rows or not results:
-        results.append(score(rows) if rows else usable(gallery).limit(0).select(F.col("id").alias("query_id"), F.col("id").alias("candidate_id"), F.lit(0.0).alias("score")))
-    every = results[0]
-    for r in results[1:]:
-        every = every.unionByName(r)
-    return rank_within(every, k=k)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                ids, groups = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([groups], pa.list_(pa.string()))], names=["ids", "vectors", "groups"])
+
+    packed = "ids binary, vectors binary, groups array<string>"
+    numbered = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    asked = q.withColumn("block", numbered).groupBy("block").agg(F.collect_list(F.struct("id", "embedding", "apart")).alias("q"))
+    asked = asked.select("block", F.col("q.id").alias("q_ids"), F.flatten("q.embedding").alias("q_vectors"), F.col("q.apart").alias("q_groups"))
+    chunks = g.mapInArrow(pack, packed).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    small = n * (one[0] if one else 0) * 8 <= SMALL_BYTES
+    met = chunks.join(F.broadcast(asked) if small else asked, "block").select("q_ids", "q_vectors", "q_groups", "ids", "vectors", "groups")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, matrix = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 1))
+                matrix = matrix.reshape(len(q_ids), -1)
+                ids, flat = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64), np.frombuffer(batch.column(4)[i].as_buffer())
+                flat = flat.reshape(len(ids), -1)
+                flat = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+                if unit_queries:
+                    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+                scores = np.round(matrix @ flat.T, 6)
+                if exclude_self:
+                    scores[q_ids[:, None] == ids[None, :]] = -np.inf
+                if apart:
+                    names, codes = np.unique([*batch.column(2)[i].as_py(), *batch.column(5)[i].as_py()], return_inverse=True)
+                    scores[codes[: len(q_ids), None] == codes[None, len(q_ids) :]] = -np.inf
+                rows, columns = _chunk_top(ids, scores, k)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], names=["query_id", "candidate_id", "score"])
+
+    return rank_within(met.mapInArrow(run, "query_id long, candidate_id long, score double"), k=k)
 
-def usable(vectors: DataFrame, *extra: str) -> DataFrame:
-    from ..functions.vectors import well_formed
 
+def usable(vectors: DataFrame, *extra: str) -> DataFrame:
     rows = vectors.select(F.col("id").cast("long").alias("id"), "embedding", *extra).filter("id is not null").filter(well_formed(F.col("embedding")))
     return rows.dropna(subset=list(extra)) if extra else rows
 
@@ -251,6 +253,3 @@ def hard_negatives(gallery: DataFrame, queries: DataFrame, forbidden: DataFrame,
     most = forbidden.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     ranked = exact_top_k(gallery, queries, pool + most)
     return rank_within(ranked.join(forbidden, ["query_id", "candidate_id"], "left_anti").drop("rank"), k=pool)
-
-
-__all__ = ["cosine", "dot", "norm", "normalize"]

@@ -156,15 +156,13 @@ def vector_single_query_rank(spark, sf):
 
 @query(f"with {E}, {fused_sql(0.5)}, {top_sql('t', LATE, source='m')} select * from t")
 def late_fusion_topk(spark, sf):
-    v = with_next(spark, sf)
-    return ranking.exact_top_k(v, asked(fused(v, 0.5)), K, exclude_self=True, unit_queries=False)
+    return ranking.exact_top_k(vectors(spark, sf), fused(asked(with_next(spark, sf)), 0.5), K, exclude_self=True, unit_queries=False)
 
 
 @query(f"with {E}, {fused_sql(0.5)}, {top_sql('t', cos_sql('q.u', 'c.v'), source='m')} select * from t")
 def early_fusion_topk(spark, sf):
-    v = with_next(spark, sf)
-    q = v.withColumn("embedding", blend(normalize(F.col("embedding")), normalize(F.col("next_embedding")), 0.5))
-    return ranking.exact_top_k(v, asked(q), K, exclude_self=True)
+    q = asked(with_next(spark, sf)).withColumn("embedding", blend(normalize(F.col("embedding")), normalize(F.col("next_embedding")), 0.5))
+    return ranking.exact_top_k(vectors(spark, sf), q, K, exclude_self=True)
 
 
 def variants():
@@ -181,9 +179,9 @@ def _grid_sql():
 
 
 def _grid(spark, sf):
-    v, rel, parts = with_next(spark, sf), qrels(spark, sf), []
+    v, q, rel, parts = vectors(spark, sf), asked(with_next(spark, sf)), qrels(spark, sf), []
     for name, a in variants():
-        top = ranking.exact_top_k(v, asked(fused(v, a)), K, exclude_self=True, unit_queries=not name.startswith("late"))
+        top = ranking.exact_top_k(v, fused(q, a), K, exclude_self=True, unit_queries=not name.startswith("late"))
         means = metrics.per_query(top, rel).agg(F.round(F.avg("hit_at_1"), 6).alias("hit_at_1"), F.round(F.avg("hit_at_5"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
         parts.append(means.select(F.lit(name).alias("variant"), F.lit(float(a)).alias("alpha"), "*"))
     return reduce(lambda x, y: x.unionByName(y), parts)
@@ -205,7 +203,7 @@ select t.*, (x.label = m.next_label)::int::bigint as is_target from t join m on
 )
 def composed_retrieval_topk(spark, sf):
     v = with_next(spark, sf)
-    top = ranking.exact_top_k(v, asked(fused(v, 0.5)), K, exclude_self=True)
+    top = ranking.exact_top_k(vectors(spark, sf), fused(asked(v), 0.5), K, exclude_self=True)
     goal = v.select(F.col("id").alias("query_id"), F.col("next_label").alias("goal"))
     found = v.select(F.col("id").alias("candidate_id"), F.col("label").alias("got"))
     return top.join(goal, "query_id").join(found, "candidate_id").select(*top.columns, (F.col("goal") == F.col("got")).cast("long").alias("is_target"))
@@ -214,7 +212,7 @@ def composed_retrieval_topk(spark, sf):
 @query(f"with {E}, {NEXT}, {top_sql('t', cos_sql('q.w', 'c.v'), source='e2')} select * from t")
 def conflict_roll_topk(spark, sf):
     v = with_next(spark, sf)
-    return ranking.exact_top_k(v, asked(v.withColumn("embedding", F.col("next_embedding"))), K, exclude_self=True)
+    return ranking.exact_top_k(vectors(spark, sf), asked(v).withColumn("embedding", F.col("next_embedding")), K, exclude_self=True)
 
 
 def _pairs(spark, sf):

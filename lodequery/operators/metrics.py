@@ -26,7 +26,32 @@ def per_query(rankings: DataFrame, qrels: DataFrame, ks=KS) -> DataFrame:
     Precision divides by k whatever is returned; recall by the number of relevant candidates; AP
     covers the whole returned list; NDCG's ideal is the k largest gains, and gains are linear.
     """
-    judged = with_relevance(rankings, qrels)
+    best = W.partitionBy("query_id").orderBy(F.desc("gain"), "candidate_id")
+    positive = qrels.filter("gain > 0").withColumn("ideal_rank", F.row_number().over(best))
+    ideal = positive.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_rel"), *[F.sum(F.when(F.col("ideal_rank") <= k, F.col("gain") / F.log2(F.col("ideal_rank") + 1.0)).otherwise(0.0)).alias(f"idcg_{k}") for k in ks]
+    )
+    return _per_query(with_relevance(rankings, qrels), ideal, ks)
+
+
+def in_groups(rankings: DataFrame, members: DataFrame) -> DataFrame:
+    """with_relevance() where relevance is the group: members (id, label); a query isn't its own candidate. No pair is made that isn't ranked."""
+    label = lambda k, n: members.select(F.col("id").alias(k), F.col("label").alias(n))
+    both = rankings.join(label("query_id", "_q"), "query_id", "left").join(label("candidate_id", "_c"), "candidate_id", "left")
+    same = F.coalesce((F.col("_q") == F.col("_c")) & (F.col("query_id") != F.col("candidate_id")), F.lit(False))
+    return both.withColumn("gain", same.cast("double")).withColumn("hit", same.cast("int")).select(*rankings.columns, "gain", "hit")
+
+
+def per_query_in_groups(rankings: DataFrame, members: DataFrame, ks=KS) -> DataFrame:
+    """per_query() where all other members of a query's group are relevant: they are counted, not listed."""
+    sizes = members.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_rel")).filter("n_rel > 0")
+    places = lambda k: F.sequence(F.lit(1), F.least(F.lit(k), F.col("n_rel").cast("int")))
+    gains = [F.aggregate(places(k), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0)).alias(f"idcg_{k}") for k in ks]
+    ideal = members.join(sizes.select("label", "n_rel", *gains), "label").select(F.col("id").alias("query_id"), "n_rel", *[f"idcg_{k}" for k in ks])
+    return _per_query(in_groups(rankings, members), ideal, ks)
+
+
+def _per_query(judged: DataFrame, ideal: DataFrame, ks) -> DataFrame:
     running = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     judged = judged.withColumn("hits", F.sum("hit").over(running))
     hit = F.col("hit")
@@ -35,11 +60,6 @@ def per_query(rankings: DataFrame, qrels: DataFrame, ks=KS) -> DataFrame:
     for k in ks:
         aggregates += [at(k).alias(f"hits_{k}"), F.sum(F.when(F.col("rank") <= k, F.col("gain") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"dcg_{k}")]
     got = judged.groupBy("query_id").agg(*aggregates)
-    best = W.partitionBy("query_id").orderBy(F.desc("gain"), "candidate_id")
-    positive = qrels.filter("gain > 0").withColumn("ideal_rank", F.row_number().over(best))
-    ideal = positive.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_rel"), *[F.sum(F.when(F.col("ideal_rank") <= k, F.col("gain") / F.log2(F.col("ideal_rank") + 1.0)).otherwise(0.0)).alias(f"idcg_{k}") for k in ks]
-    )
     joined = got.join(ideal, "query_id", "left")
     some = F.col("n_rel").isNotNull()
     out = [F.col("query_id"), F.coalesce("n_rel", F.lit(0)).cast("long").alias("n_rel"), F.col("first_rank")]

@@ -38,9 +38,8 @@ def light(spark, sf):
 
 def _three(spark, sf):
     """(query_id, zero, full, light): first relevant ranks."""
-    rel = vq.qrels(spark, sf)
     parts = {"full": vq.system_a(spark, sf), "zero": vq.system_b(spark, sf), "light": light(spark, sf)}
-    each = [metrics.per_query(r, rel).select("query_id", F.col("first_rank").alias(n)) for n, r in parts.items()]
+    each = [vq.per_query(spark, sf, r).select("query_id", F.col("first_rank").alias(n)) for n, r in parts.items()]
     return reduce(lambda x, y: x.join(y, "query_id"), each)
 
 
@@ -79,9 +78,8 @@ KEPT = ("hit_at_1", "rr", "ndcg_at_10")
     + ") select metric, round(z, 6) as zero, round(f, 6) as full_, round(l, 6) as light, case when f - z > 1e-8 then round((l - z) / (f - z), 6) end as retained from m"
 )
 def retention_fraction(spark, sf):
-    rel, parts = vq.qrels(spark, sf), []
     systems = {"z": vq.system_b(spark, sf), "f": vq.system_a(spark, sf), "l": light(spark, sf)}
-    means = {n: metrics.per_query(r, rel).agg(*[F.avg(m).alias(f"{n}_{m}") for m in KEPT]) for n, r in systems.items()}
+    means = {n: vq.per_query(spark, sf, r).agg(*[F.avg(m).alias(f"{n}_{m}") for m in KEPT]) for n, r in systems.items()}
     one = reduce(lambda x, y: x.crossJoin(F.broadcast(y)), means.values())  # one row each
     entries = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{n}_{m}").alias(n) for n in systems]) for m in KEPT]
     parts = one.select(F.explode(F.array(*entries)).alias("x")).select("x.*")

@@ -53,12 +53,22 @@ def fused(v, alpha):
     return v.withColumn("embedding", mix)
 
 
+def per_query(spark, sf, top):
+    """Metrics of a ranking; relevance is the label, so no list of relevant pairs is made."""
+    return metrics.per_query_in_groups(top, vectors(spark, sf).select("id", "label"))
+
+
+def hits_of(spark, sf, top):
+    """(query_id, candidate_id, gain) of a ranking's relevant candidates."""
+    return metrics.in_groups(top, vectors(spark, sf).select("id", "label")).filter("hit = 1").select("query_id", "candidate_id", "gain")
+
+
 def per_a(spark, sf):
-    return metrics.per_query(system_a(spark, sf), qrels(spark, sf))
+    return per_query(spark, sf, system_a(spark, sf))
 
 
 def per_b(spark, sf):
-    return metrics.per_query(system_b(spark, sf), qrels(spark, sf))
+    return per_query(spark, sf, system_b(spark, sf))
 
 
 def cos_sql(a, b):
@@ -179,10 +189,10 @@ def _grid_sql():
 
 
 def _grid(spark, sf):
-    v, q, rel, parts = vectors(spark, sf), asked(with_next(spark, sf)), qrels(spark, sf), []
+    v, q, parts = vectors(spark, sf), asked(with_next(spark, sf)), []
     for name, a in variants():
         top = ranking.exact_top_k(v, fused(q, a), K, exclude_self=True, unit_queries=not name.startswith("late"))
-        means = metrics.per_query(top, rel).agg(F.round(F.avg("hit_at_1"), 6).alias("hit_at_1"), F.round(F.avg("hit_at_5"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
+        means = per_query(spark, sf, top).agg(F.round(F.avg("hit_at_1"), 6).alias("hit_at_1"), F.round(F.avg("hit_at_5"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
         parts.append(means.select(F.lit(name).alias("variant"), F.lit(float(a)).alias("alpha"), "*"))
     return reduce(lambda x, y: x.unionByName(y), parts)
 
@@ -253,7 +263,7 @@ def candidate_recall(spark, sf):
 
 @query(f"with {E}, {REL}, {A}, {judged_sql('a')} select query_id, candidate_id, hit::bigint as hit, row_number() over (partition by query_id order by hit desc, candidate_id) as rank from ah")
 def oracle_rerank(spark, sf):
-    j = metrics.with_relevance(system_a(spark, sf), qrels(spark, sf)).withColumn("score", F.col("hit").cast("double")).drop("rank")
+    j = metrics.in_groups(system_a(spark, sf), vectors(spark, sf).select("id", "label")).withColumn("score", F.col("hit").cast("double")).drop("rank")
     return ranking.rank_within(j).select("query_id", "candidate_id", F.col("hit").cast("long").alias("hit"), "rank")
 
 
@@ -268,8 +278,7 @@ select count(*) as queries, sum(t1.c)::bigint as top1_changed, sum(case when coa
 def rank_change_counts(spark, sf):
     a, b = system_a(spark, sf), system_b(spark, sf)
     top = lambda r, n: r.filter("rank = 1").select("query_id", F.col("candidate_id").alias(n))
-    rel = qrels(spark, sf)
-    first = lambda r, n: metrics.per_query(r, rel).select("query_id", F.coalesce("first_rank", F.lit(K + 1)).alias(n))
+    first = lambda r, n: per_query(spark, sf, r).select("query_id", F.coalesce("first_rank", F.lit(K + 1)).alias(n))
     j = top(a, "ca").join(top(b, "cb"), "query_id").join(first(a, "fa"), "query_id").join(first(b, "fb"), "query_id")
     return j.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("ca") != F.col("cb")).alias("top1_changed"), F.count_if(F.col("fb") < F.col("fa")).alias("promoted"), F.count_if(F.col("fb") > F.col("fa")).alias("demoted"))
 
@@ -476,9 +485,10 @@ FAIL = f"{E}, {REL}, {B}, {per_sql('b')}, {margin_sql('b')}, {fail_sql('b')}"
 
 
 def _failures(system, spark, sf):
-    top, rel = system(spark, sf), qrels(spark, sf)
+    top = system(spark, sf)
+    rel = hits_of(spark, sf, top)
     n = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"))
-    per = metrics.per_query(top, rel).join(n, "query_id", "left").withColumn("returned", F.coalesce("returned", F.lit(0)))
+    per = per_query(spark, sf, top).join(n, "query_id", "left").withColumn("returned", F.coalesce("returned", F.lit(0)))
     return diagnostics.failures(per).join(diagnostics.margin_classes(top, rel).drop("margin"), "query_id", "left")
 
 
@@ -531,7 +541,8 @@ def failure_categories(spark, sf):
 
 @query(f"with {E}, {REL}, {B}, {judged_sql('b')}, {margin_sql('b')} select query_id, margin, margin_class from bm")
 def score_margin_classes(spark, sf):
-    return diagnostics.margin_classes(system_b(spark, sf), qrels(spark, sf))
+    top = system_b(spark, sf)
+    return diagnostics.margin_classes(top, hits_of(spark, sf, top))
 
 
 CONF = f"""c as (select query_id, round(max(score), 6) as top1, round(max(case when rank = 1 then score end) - max(case when rank = 2 then score end), 6) as margin,
@@ -549,7 +560,7 @@ TARGET = f"{E}, {REL}, {B}, {per_sql('b')}, {CONF}, t as (select query_id as id,
 
 def targets(spark, sf):
     b = system_b(spark, sf)
-    per = metrics.per_query(b, qrels(spark, sf)).select("query_id", F.coalesce(F.col("first_rank") == 1, F.lit(False)).cast("int").alias("label"))
+    per = per_query(spark, sf, b).select("query_id", F.coalesce(F.col("first_rank") == 1, F.lit(False)).cast("int").alias("label"))
     return diagnostics.confidence(b).join(per, "query_id").select(F.col("query_id").alias("id"), F.col("top1").alias("score"), "label")
 
 

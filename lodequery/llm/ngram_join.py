@@ -37,7 +37,7 @@ PERCENT = 85
 LEAST_COMMON = 3
 MOST_COMMON = 4_000_000
 #: Likeness to a pivot that makes a set a member of its family, and the bounds of a block of a family's sets.
-FAMILY = 50
+FAMILY = 30
 BLOCK_SETS, BLOCK_NGRAMS = 1024, 2_000_000
 #: Cells and counts that a task multiplies at once.
 CELLS, COUNTS = 4_000_000, 20_000_000
@@ -247,7 +247,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _shared(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings of keys that two sets or more hold; those of star keys with a pivot of like size, the others without."""
+    """Postings of keys that two sets or more hold; those of star keys with a pivot of like size (pivots with the pivot before), the others without."""
     schema = "shingle long, n long, hi long, lo long, pivot_n long, pivot_hi long, pivot_lo long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +262,10 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
             pivot = np.full(len(key), -1)
             now = -1
             for i in np.flatnonzero(star):
-                if now < 0 or key[now] != key[i] or 100 * n[now] < percent * n[i]:
-                    now = i
-                else:
+                if now >= 0 and key[now] == key[i]:
                     pivot[i] = now
+                if pivot[i] < 0 or 100 * n[now] < percent * n[i]:
+                    now = i  # the pivot of larger sets, itself compared with the one before
             has = pivot >= 0
             out = has | ~star
             if out.any():

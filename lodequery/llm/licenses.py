@@ -7,17 +7,20 @@ share of a template has a Jaccard similarity with it of at least
 
     least(s) = share * (s / 2 + 1/2) / (2 * s + (1 - share) * (s / 2 + 1/2))
 
-and BANDS bands of one row collide with probability at least 1 - (1 - least)^BANDS. Templates
-that a window collides with are verified by exact containment of their shingles in it.
+and a class has so many bands of one row that its own templates, at their least similarity, meet
+such a window with probability MEETS at least: 1 - (1 - similarity)^bands. Templates that a window
+collides with are verified by exact containment of their shingles in it.
 
 One step before loses nothing and saves most work: to hold the asked share of a template a text
-must hold one of any few of its shingles, so texts that lack words of all of these are left out.
-All windows of the other texts get bands, and only what the bands retrieve is verified. The
-templates are a parameter of bounded size; their bands are broadcast.
+must hold one of any few of its shingles, so texts that lack words of all of these are left out, and
+in the others windows without the longest word of any. All other windows get bands, and only what
+the bands retrieve is verified. The templates are a parameter of bounded size; their bands are
+broadcast.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -28,7 +31,7 @@ from .common import text_of
 
 SHINGLE = 5
 SHARE = 0.8
-BANDS = 48
+MEETS = 0.9999
 MOST_TEMPLATES = 200
 
 #: Notices and whole texts that stand for a license, by name.
@@ -141,19 +144,33 @@ def anchors(t: Template) -> list[list[str]]:
     return out
 
 
-def holds_anchor(low: Column, found: list[Template]) -> Column:
-    any_of = F.lit(False)
-    for group in sorted({tuple(g) for t in found for g in anchors(t)}):
-        every = F.lit(True)
-        for word in group:
-            every = every & F.contains(low, F.lit(word))
-        any_of = any_of | every
-    return any_of
+def holds_anchor(text: Column, found: list[Template]) -> Column:
+    """Whether a text holds all words of some group, whatever their case. It is put into lower case once, as an array's only element."""
 
+    def any_group(low: Column) -> Column:
+        any_of = F.lit(False)
+        for group in sorted({tuple(g) for t in found for g in anchors(t)}):
+            every = F.lit(True)
+            for word in group:
+                every = every & F.contains(low, F.lit(word))
+            any_of = any_of | every
+        return any_of
 
-def band_keys(shingles: Column) -> Column:
+    return F.exists(F.array(F.lower(text)), any_group)
+
+
+def bands_of(found: list[Template]) -> dict[tuple[int, int], int]:
+    """Bands by (width, size class)."""
+    least: dict[tuple[int, int], float] = {}
+    for t in found:
+        s = t.size_class
+        least[t.width, s] = min(least.get((t.width, s), 1.0), need(t) / (2 * s + len(t.shingles) - need(t)))
+    return {k: math.ceil(math.log(1.0 - MEETS) / math.log1p(-j)) for k, j in least.items()}
+
+
+def band_keys(shingles: Column, bands: Column) -> Column:
     """One key a band: the band's number with the least of its hashes over the hashed shingles."""
-    seeds = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    seeds = F.sequence(F.lit(0), bands - 1)
     return F.transform(seeds, lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b)))))
 
 
@@ -167,15 +184,20 @@ def hashed(one: Column, width: int) -> Column:
 
 
 def windows(words: DataFrame, found: list[Template]) -> DataFrame:
-    """(row, width, step, at, grams): all windows of every class, with their shingles' hashes, from (row, words)."""
+    """(row, width, step, bands, at, grams): the windows of every class that hold some group's longest word, with their shingles' hashes, from (row, words)."""
     widths = sorted({t.width for t in found})
-    one = words.select("__license_row", F.transform("words", lambda w: F.xxhash64(w)).alias("__one"))
-    every = one.select("__license_row", *[hashed(F.col("__one"), w).alias(f"__h{w}") for w in widths])
-    kinds = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("step"), F.col(f"__h{w}").alias("hashes")) for w, s in sorted({(t.width, t.size_class) for t in found})])
-    placed = every.select("__license_row", F.explode(kinds).alias("kind")).select("__license_row", "kind.*").filter(F.size("hashes") > 0)
-    starts = F.sequence(F.lit(0), F.floor((F.size("hashes") - 1) / F.col("step")).cast("int"))
-    cut = F.transform(starts, lambda w: F.struct((w * F.col("step")).alias("at"), F.slice("hashes", w * F.col("step") + 1, 2 * F.col("step")).alias("grams")))
-    return placed.select("__license_row", "width", "step", F.explode(cut).alias("w")).select("__license_row", "width", "step", "w.at", "w.grams")
+    longest = sorted({g[0] for t in found for g in anchors(t)})
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(longest))
+    one = words.filter(F.size("words") > 0).select("__license_row", F.transform("words", lambda w: F.xxhash64(w)).alias("__one"), places.alias("places"))
+    every = one.select("__license_row", "places", *[hashed(F.col("__one"), w).alias(f"__h{w}") for w in widths])
+    kinds = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("step"), F.lit(n).alias("bands"), F.col(f"__h{w}").alias("hashes")) for (w, s), n in sorted(bands_of(found).items())])
+    placed = every.select("__license_row", "places", F.explode(kinds).alias("kind")).select("__license_row", "places", "kind.*").filter(F.size("hashes") > 0)
+    step, last = F.col("step"), F.floor((F.size("hashes") - 1) / F.col("step")).cast("int")
+    first = lambda p: F.greatest(F.lit(0), F.ceil((p - 2 * step - F.col("width") + 2) / step).cast("int"))
+    until = lambda p: F.least(F.floor(p / step).cast("int"), last)
+    near = F.transform("places", lambda p: F.when(first(p) <= until(p), F.sequence(first(p), until(p))).otherwise(F.array().cast("array<int>")))
+    cut = F.transform(F.array_distinct(F.flatten(near)), lambda w: F.struct((w * step).alias("at"), F.slice("hashes", w * step + 1, 2 * step).alias("grams")))
+    return placed.select("__license_row", "width", "step", "bands", F.explode(cut).alias("w")).select("__license_row", "width", "step", "bands", "w.at", "w.grams")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -192,15 +214,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         return docs.drop("licenses").withColumn("licenses", none)
     low = F.translate(text_of(), UPPER, LOWER)
     row = F.struct(F.col("doc_id"), F.xxhash64(text_of()).alias("hash"))
-    words = docs.filter(holds_anchor(low, found)).select(row.alias("__license_row"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
-    words = words.dropDuplicates(["__license_row"])
-    named = [(t.name, t.width, t.size_class, [x.split() for x in t.shingles]) for t in found]
-    table = spark.createDataFrame(named, "name string, width int, step int, words array<array<string>>")
+    maybe = docs.filter(holds_anchor(text_of(), found)).select(row.alias("__license_row"), low.alias("text"))
+    words = maybe.select("__license_row", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    count = bands_of(found)
+    named = [(t.name, t.width, t.size_class, count[t.width, t.size_class], [x.split() for x in t.shingles]) for t in found]
+    table = spark.createDataFrame(named, "name string, width int, step int, bands int, words array<array<string>>")
     keys = F.lit(None).cast("array<bigint>")
     for width in sorted({t.width for t in found}):
         keys = F.when(F.col("width") == width, F.transform("words", lambda x: F.get(hashed(F.transform(x, lambda w: F.xxhash64(w)), width), F.lit(0)))).otherwise(keys)  # noqa: B023
-    bands = table.select("name", "width", "step", keys.alias("hashes")).withColumn("band", F.explode(band_keys(F.col("hashes")))).drop("hashes")
-    keyed = windows(words, found).select("__license_row", "width", "step", "at", F.explode(band_keys(F.col("grams"))).alias("band"))
+    bands = table.select("name", "width", "step", "bands", keys.alias("hashes")).withColumn("band", F.explode(band_keys(F.col("hashes"), F.col("bands")))).drop("hashes", "bands")
+    keyed = windows(words, found).select("__license_row", "width", "step", "at", F.explode(band_keys(F.col("grams"), F.col("bands"))).alias("band"))
     met = keyed.join(F.broadcast(bands), ["width", "step", "band"]).groupBy("__license_row").agg(F.collect_set(F.struct("at", "name")).alias("met"))
     entries = [x for t in found for x in (F.lit(t.name), F.struct(F.lit(t.width).alias("width"), F.lit(t.size_class).alias("step"), F.lit(need(t)).alias("need"), F.array(*map(F.lit, t.shingles)).alias("shingles")))]
     known = F.create_map(*entries)
@@ -212,7 +235,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         return F.size(F.array_intersect(grams, t["shingles"])) >= t["need"]
 
     names = F.array_sort(F.array_distinct(F.transform(F.filter("met", held), lambda m: m["name"])))
-    verified = words.join(met, "__license_row").select("__license_row", names.alias("licenses"))
+    # the words of what the bands met are cut again after the join: texts are a fraction of their words in size
+    again = maybe.join(met, "__license_row").withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    verified = again.select("__license_row", names.alias("licenses")).dropDuplicates(["__license_row"])
     joined = docs.drop("licenses").withColumn("__license_key", row).join(verified, F.col("__license_key").eqNullSafe(F.col("__license_row")), "left")
     return joined.withColumn("licenses", F.coalesce("licenses", none)).drop("__license_row", "__license_key")
 

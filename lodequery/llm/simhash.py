@@ -180,8 +180,7 @@ def block_keys(high: Column, low: Column, blocks: int, tolerance: int = 0) -> Co
             upper = high.bitwiseAND(mask(64 - a))
             own = F.shiftleft(upper, b - 64).bitwiseOR(F.shiftrightunsigned(low, 128 - b).bitwiseAND(mask(b - 64)))
         flips = [sum(1 << k for k in c) for n in range(tolerance + 1) for c in combinations(range(b - a), n)]
-        flipped = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, own=own: own.bitwiseXOR(x))
-        keys.append(F.transform(flipped, lambda k, t=t: F.struct(F.lit(t).alias("table"), k.alias("key"))))
+        keys.append(F.array(*[F.struct(F.lit(t).alias("table"), own.bitwiseXOR(F.lit(x).cast("long")).alias("key")) for x in flips]))
     return F.flatten(F.array(*keys))
 
 

@@ -656,3 +656,15 @@ def test_families_are_cut_into_tiles(spark, odd, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in rows_of(ngram_join.join(docs))}
     want = brute_components(rows_of(docs))
     assert got == want and 3 < len(set(want.values())) < 90
+
+
+def test_block_keys_tell_tables_apart(spark):
+    """Each block's own key, and those one bit away, in the table of that block: what the tables find isn't all pairs."""
+    value = 0x0123456789ABCDEF_FEDCBA9876543210
+    high, low = simhash.halves(F.lit(f"{value:032x}"))
+    got = spark.range(1).select(simhash.block_keys(high, low, simhash.BLOCKS, 1)).first()[0]
+    want, edges = set(), [128 * k // simhash.BLOCKS for k in range(simhash.BLOCKS + 1)]
+    for t, (a, b) in enumerate(zip(edges, edges[1:])):
+        own = value >> (128 - b) & (1 << (b - a)) - 1
+        want |= {(t, own)} | {(t, own ^ 1 << k) for k in range(b - a)}
+    assert {(r["table"], r["key"]) for r in got} == want and len(got) == len(want)

@@ -461,7 +461,7 @@ def top_tokens_by_effect(spark, sf):
 
 
 def _probe_sql(n):
-    return vq.CELLS.replace("where n <= 8", f"where n <= {n}")
+    return vq.CELLS.replace("where n <= 9", f"where n <= {n}")
 
 
 PROBES = (1, 4, 8, 10)

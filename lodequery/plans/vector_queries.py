@@ -286,13 +286,13 @@ def rank_change_counts(spark, sf):
 CELLS = f"""u as (select id, label, {UNIT('v')} as v from e), pos as (select label, generate_subscripts(v, 1) as place, unnest(v) as x from u),
 mean as (select label, place, avg(x) as x from pos group by 1, 2), cm as (select label as cell, list(x order by place) as m from mean group by 1), cell as (select cell, {UNIT('m')} as centroid from cm),
 near as (select q.id, cell, row_number() over (partition by q.id order by {cos_sql('q.v', 'centroid')} desc, cell) as n from e q, cell where q.id % 10 = 0),
-i_s as (select q.id as query_id, c.id as candidate_id, {cos_sql('q.v', 'c.v')} as score from near join e q on near.id = q.id join e c on c.label = near.cell where n <= 8 and q.id <> c.id),
+i_s as (select q.id as query_id, c.id as candidate_id, {cos_sql('q.v', 'c.v')} as score from near join e q on near.id = q.id join e c on c.label = near.cell where n <= 9 and q.id <> c.id),
 i as (select * from (select *, row_number() over (partition by query_id order by score desc, candidate_id) as rank from i_s) where rank <= {K})"""
 
 
 def _ivf(spark, sf):
     v = vectors(spark, sf).withColumn("cell", F.col("label"))
-    return ranking.cell_top_k(v, asked(v), ranking.centroids(v, "cell"), K, 8)
+    return ranking.cell_top_k(v, asked(v), ranking.centroids(v, "cell"), K, 9)
 
 
 @query(f"with {E}, {CELLS} select * from i")

@@ -134,7 +134,7 @@ def test_approximate_search_recalls(spark):
 
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
-@pytest.mark.parametrize("name", ["kmeans_ivf_topk", "lsh_ann_topk"])
+@pytest.mark.parametrize("name", ["kmeans_ivf_topk", "lsh_ann_topk", "ivf_label_centroid_topk"])
 def test_index_queries_recall_on_their_table(spark, name, size):
     from lodequery.plans import vector_queries
 

@@ -539,8 +539,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     """(doc_id, n_shingles, component_id) of every document.
 
     Two documents link when 100 * overlap >= percent * union of their sets. Null and empty texts
-    have empty sets and link with nothing: their component is their own id. Rows that are repeated
-    are one row of the matrix; null ids count as larger than all others.
+    have empty sets and link with nothing: their component is their own id. Very long texts are sets
+    like others. Rows that are repeated are one row of the matrix; null ids count as larger than all
+    others, and a component without any id has none; an empty table gives no rows.
     """
     component = F.nullif(F.coalesce("root.first", "doc_id"), F.lit(2**63 - 1))
     return _joined(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -183,8 +183,8 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 def scan(docs: DataFrame, rules=RULES, block: int = BLOCK) -> DataFrame:
     """docs with `spans`, an array of (start, order, end, kind) by start, then the rules' order.
 
-    A null text counts as empty and has none. Rows that are repeated are each scanned; a column
-    that is named spans is replaced.
+    A null text counts as empty and has none; very long texts are scanned whole; an empty table
+    stays empty. Rows that are repeated are each scanned; a column that is named spans is replaced.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     keyed = docs.drop("spans").withColumn("__secret_row", row_key(docs))
@@ -206,7 +206,7 @@ def render(spans: Column) -> Column:
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Texts with every span replaced by the mark (overlapping spans by one), n_chars brought up to date; spans goes."""
+    """Texts with every span replaced by the mark (overlapping spans by one), n_chars brought up to date; spans goes. Null texts stay null."""
     state = "struct<out:string,at:int>"
 
     def step(acc, s):

@@ -168,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, offending): offending has (start, end, score) of the toxic sentences.
 
-    A text without words, empty or null has the score 0. Repeated rows are scored each.
+    A text without words, empty or null has the score 0. Very long texts are scored whole, repeated
+    rows each; an empty table gives no rows, and other columns, whatever their names, aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     schema = "doc_id long, score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_calm(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model doesn't reject, with their own columns; scored in place, nothing is joined."""
+    """The documents that the model doesn't reject, with their own columns; scored in place, nothing is joined. Null and empty texts stay, repeated rows are judged alike."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     at = docs.columns.index("text")
 

@@ -169,7 +169,8 @@ def archive_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
     Pages pass through ARC files, version 1 and 2 by turns. Of pages with equal payloads of at
     least `least` bytes those with the smallest id are responses and the rest revisits; a null id
-    is larger than any. A null html is the empty payload. Copies are found by digest: their
+    is larger than any. A null html is the empty payload; pages of any length pass whole, repeated
+    ids are records each, and no pages give no records. Copies are found by digest: their
     smallest id is one row a digest, and the join of a digest that many pages share is split.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))

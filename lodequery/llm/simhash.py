@@ -32,6 +32,10 @@ REMEMBERED = 300_000
 #: Code points in a bucket of neighbouring ids, more where there would be too many buckets.
 BUCKET_CHARS = 16_000_000
 MOST_BUCKETS = 100_000
+#: Fingerprints and queries of one key that are compared at once.
+TILE = (2048, 512)
+#: Up to so many pairs, tiles are compared together with others.
+FEW = 2048
 
 
 class Fingerprinter:
@@ -184,11 +188,21 @@ def block_keys(high: Column, low: Column, blocks: int, tolerance: int = 0) -> Co
     return F.flatten(F.array(*keys))
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(query, fingerprint, distance) of all pairs of distinct fingerprints at most `radius` bits apart, themselves included.
+def _first_table(query: np.ndarray, other: np.ndarray, blocks: int, tolerance: int) -> np.ndarray:
+    """The first block's number in which two fingerprints (rows of 16 bytes) differ in at most `tolerance` bits, or `blocks`."""
+    bits = np.unpackbits(query ^ other, axis=1)
+    edges = [BITS * k // blocks for k in range(blocks)]
+    near = np.add.reduceat(bits, edges, axis=1, dtype=np.int64) <= tolerance
+    return np.where(near.any(axis=1), near.argmax(axis=1), blocks)
 
-    Both tables have a hexadecimal `fingerprint`; null ones find nothing. Copies are one
-    fingerprint each, so no group of copies is expanded; whoever needs documents joins these back.
+
+def _met(prints: DataFrame, queries: DataFrame, radius: int, blocks: int, pairs: bool, tile: tuple[int, int] = TILE) -> DataFrame:
+    """Looks up the queries' keys in the tables and compares what meets there, each pair in the first table where it meets.
+
+    prints (fingerprint, n) and queries (fingerprint), distinct and not null. The rows of a key are
+    compared by one matrix of distances, those of a common key tile by tile in several tasks, so no
+    row is made for a pair that meets but isn't near. With `pairs` all near pairs are returned, else
+    for each query and tile the sum of n.
     """
     if radius < 0 or not 3 <= blocks <= BITS:
         raise ValueError("the radius must not be negative, and there must be 3 to 128 blocks")
@@ -196,22 +210,117 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, b
     if sum(math.comb(-(-BITS // blocks), n) for n in range(tolerance + 1)) > 10_000:
         raise ValueError("too many keys a table: take more blocks")
 
-    def keyed(df: DataFrame, name: str, tolerance: int) -> DataFrame:
+    widths = [BITS * (t + 1) // blocks - BITS * t // blocks for t in range(blocks)]
+    flips = [sum(1 << k for k in c) for n in range(tolerance + 1) for c in combinations(range(max(widths)), n)]
+
+    def keyed(df: DataFrame, tolerance: int, n: Column) -> DataFrame:
         high, low = halves(F.col("fingerprint"))
-        one = df.filter("fingerprint is not null").select("fingerprint").distinct().select(F.col("fingerprint").alias(name), high.alias(f"{name}_high"), low.alias(f"{name}_low"))
-        keys = block_keys(F.col(f"{name}_high"), F.col(f"{name}_low"), blocks, tolerance)
-        return one.withColumn("k", F.explode(keys)).select(name, f"{name}_high", f"{name}_low", "k.table", "k.key")
+        one = df.select(high.alias("high"), low.alias("low"), n.cast("long").alias("n"))
+        own = one.withColumn("k", F.explode(block_keys(F.col("high"), F.col("low"), blocks))).select("k.table", "k.key", "high", "low", "n")
+        if not tolerance:
+            return own
+        # keys nearby in a second step: one array of them all makes code too long to be compiled
+        inside = F.col("flip") < F.element_at(F.array(*[F.lit(1 << w) for w in widths]), F.col("table") + 1)
+        return own.withColumn("flip", F.explode(F.array(*[F.lit(x) for x in flips]).cast("array<long>"))).filter(inside).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+
+    held, asked = keyed(prints, 0, F.col("n")), keyed(queries, tolerance, F.lit(None))
+    many = lambda df, most: df.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tiles")).filter("tiles > 1")
+    # common keys only: at most a row for each full tile
+    rows = many(held, tile[0]).withColumn("wide", F.lit(1)).unionByName(many(asked, tile[1]).select("table", "key", F.lit(1).alias("tiles"), F.col("tiles").alias("wide")))
+    common = F.broadcast(rows.groupBy("table", "key").agg(F.max("tiles").alias("tiles"), F.max("wide").alias("wide")))
+    tiles, wide = F.coalesce("tiles", F.lit(1)), F.coalesce("wide", F.lit(1))
+    own = lambda count: F.pmod(F.xxhash64("high", "low"), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    place = lambda df, a, b: df.join(common, ["table", "key"], "left").withColumn("a", a).withColumn("b", b).select("table", "key", "a", "b", "high", "low", "n")
+    both = place(held, own(tiles), every(wide)).unionByName(place(asked, every(tiles), own(wide)))
+    names = ["q_high", "q_low", "p_high", "p_low", "distance"] if pairs else ["q_high", "q_low", "n"]
+
+    def compare(rows: np.ndarray) -> pa.RecordBatch:
+        """What lies near in whole tiles: columns table, key, a, b, high, low, n, in each tile queries (n of -1) first."""
+        starts = np.concatenate([[0], np.nonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1))[0] + 1])
+        sizes = np.diff(starts, append=len(rows))
+        q = np.add.reduceat((rows[:, 6] < 0).astype(np.int64), starts)
+        p = sizes - q
+        bits = np.ascontiguousarray(rows[:, 4:6]).view(np.uint64)
+        apart = lambda i, j: np.bitwise_count(bits[i, 0] ^ bits[j, 0]) + np.bitwise_count(bits[i, 1] ^ bits[j, 1])
+        i_of, j_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in np.nonzero(q * p > FEW)[0]:
+            at, end = starts[t], starts[t] + sizes[t]
+            i, j = np.nonzero(apart(np.arange(at, at + q[t])[:, None], np.arange(at + q[t], end)[None, :]) <= radius)
+            i_of.append(i + at)
+            j_of.append(j + at + q[t])
+        few = np.nonzero((q * p > 0) & (q * p <= FEW))[0]
+        for at in range(0, len(few), 1024):  # small tiles together
+            some = few[at : at + 1024]
+            pairs_of = q[some] * p[some]
+            tile_of = np.repeat(some, pairs_of)
+            place = np.arange(len(tile_of)) - np.repeat(np.cumsum(pairs_of) - pairs_of, pairs_of)
+            i, j = starts[tile_of] + place // p[tile_of], starts[tile_of] + q[tile_of] + place % p[tile_of]
+            near = apart(i, j) <= radius
+            i_of.append(i[near])
+            j_of.append(j[near])
+        i, j = np.concatenate(i_of), np.concatenate(j_of)
+        wire = np.ascontiguousarray(bits.astype(">u8")).view(np.uint8).reshape(len(rows), BITS // 8)
+        first = [_first_table(wire[i[at : at + 65_536]], wire[j[at : at + 65_536]], blocks, tolerance) == rows[i[at : at + 65_536], 0] for at in range(0, len(i), 65_536)]
+        first = np.concatenate([np.zeros(0, bool), *first])
+        i, j = i[first], j[first]
+        if pairs:
+            found = [rows[i, 4], rows[i, 5], rows[j, 4], rows[j, 5], apart(i, j).astype(np.int64)]
+        else:
+            some, place = np.unique(i, return_inverse=True)
+            sums = np.zeros(len(some), np.int64)
+            np.add.at(sums, place, rows[j, 6])
+            found = [rows[some, 4], rows[some, 5], sums]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((0, 7), np.int64)  # the last tile, which may go on in the next batch
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.stack([c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+                rows = np.concatenate([rest, rows])
+                other = np.nonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))[0]
+                whole = other[-1] + 1 if len(other) else 0
+                rest = rows[whole:]
+                if whole:
+                    yield compare(rows[:whole])
+        if len(rest):
+            yield compare(rest)
+
+    spread = both.repartition("table", "key", "a", "b").sortWithinPartitions("table", "key", "a", "b", F.col("n").asc_nulls_first())
+    return spread.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def _hexadecimal(high: str, low: str) -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in (high, low)])
+
+
+def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(query, fingerprint, distance) of all pairs of distinct fingerprints at most `radius` bits apart, themselves included.
+
+    Both tables have a hexadecimal `fingerprint`; null ones find nothing. Copies are one
+    fingerprint each, so no group of copies is expanded; whoever needs documents joins these back.
+    """
+    one = lambda df: df.filter("fingerprint is not null").select("fingerprint").distinct()
+    found = _met(one(prints).withColumn("n", F.lit(1)), one(queries), radius, blocks, pairs=True)
+    return found.select(_hexadecimal("q_high", "q_low").alias("query"), _hexadecimal("p_high", "p_low").alias("fingerprint"), F.col("distance").cast("int").alias("distance"))
+
 
-    distance = F.bit_count(F.col("query_high").bitwiseXOR(F.col("fingerprint_high"))) + F.bit_count(F.col("query_low").bitwiseXOR(F.col("fingerprint_low")))
-    found = keyed(queries, "query", tolerance).join(keyed(prints, "fingerprint", 0), ["table", "key"]).select("query", "fingerprint", distance.cast("int").alias("distance"))
-    return found.filter(F.col("distance") <= radius).distinct()
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: tuple[int, int] = TILE) -> DataFrame:
+    """(query, n_near): for each distinct query fingerprint the sum of n over the prints (fingerprint, n) within the radius; no pair is listed."""
+    one = queries.filter("fingerprint is not null").select("fingerprint").distinct()
+    found = _met(prints.filter("fingerprint is not null"), one, radius, blocks, pairs=False, tile=tile)
+    sums = found.groupBy("q_high", "q_low").agg(F.sum("n").alias("n_near"))
+    return sums.select(_hexadecimal("q_high", "q_low").alias("query"), "n_near")
 
 
 def report(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """fingerprints() with n_near: for ids divisible by 20, how many documents lie within the radius, itself included."""
     table = materialise(fingerprints(docs), "simhash")
-    asks = table.filter(F.col("doc_id") % 20 == 0).select("fingerprint")
+    asks = table.filter(F.col("doc_id") % 20 == 0)
     counts = table.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    near = within_radius(counts, asks, radius, blocks).join(counts, "fingerprint").groupBy(F.col("query").alias("_print")).agg(F.sum("n").alias("_near"))
-    joined = table.join(near, table["fingerprint"] == near["_print"], "left")
-    return joined.withColumn("n_near", F.when(F.col("doc_id") % 20 == 0, F.col("_near"))).drop("_print", "_near")
+    near = near_counts(counts, asks, radius, blocks)
+    # a merge join: estimates of the few queries' size know nothing of what a search returns, and a broadcast goes through the driver
+    joined = asks.join(near.hint("merge"), asks["fingerprint"] == near["query"], "left").drop("query")
+    rest = table.filter(~F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False)))
+    return joined.unionByName(rest.withColumn("n_near", F.lit(None).cast("long")))

@@ -668,3 +668,20 @@ def test_block_keys_tell_tables_apart(spark):
         own = value >> (128 - b) & (1 << (b - a)) - 1
         want |= {(t, own)} | {(t, own ^ 1 << k) for k in range(b - a)}
     assert {(r["table"], r["key"]) for r in got} == want and len(got) == len(want)
+
+
+def test_near_counts_list_no_pairs(spark):
+    """A crowded key is compared in tiles: sums as by brute force, weighted by copies, and no joined row for each pair that meets."""
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 2**62)) << 64 | int(rng.integers(0, 2**62))
+    prints = {centre ^ sum(1 << int(b) for b in rng.choice(40, int(rng.integers(1, 12)), replace=False)) for _ in range(300)}
+    prints |= {int.from_bytes(rng.bytes(16), "big") for _ in range(50)} | {2**128 - 1, 0}
+    rows = [(f"{p:032x}", int(rng.integers(1, 4))) for p in sorted(prints)]
+    df = spark.createDataFrame([*rows, (None, 5)], "fingerprint string, n long")
+    asks = df.filter("n = 1 or fingerprint is null").select("fingerprint")
+    want = {a: sum(n for b, n in rows if (int(a, 16) ^ int(b, 16)).bit_count() <= simhash.RADIUS) for a, m in rows if m == 1}
+    for tile in ((20, 7), (4096, 1024)):
+        near = simhash.near_counts(df, asks, tile=tile)
+        assert {r["query"]: r["n_near"] for r in rows_of(near)} == want
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert "bit_count" not in plan and "Join Inner" not in plan

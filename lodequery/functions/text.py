@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,19 +91,27 @@ def punctuation_high(x: Column) -> Column:
     return F.regexp_replace(x, r"[^\p{L}\p{N}\s]", " ")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row; what a lambda over an array refers to is computed anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def delete_words(x: Column, seed: Column, share: float | None) -> Column:
     """A cyclic run of words gone, from a place the seed picks: one, or that share rounded up.
 
     Of three words or more the first always stays; of two, one goes; a text of at most one word stays as it is.
     """
-    w = split_words(x)
-    n = F.size(w)
-    fixed = F.when(n > 2, 1).otherwise(0)
-    places = n - fixed
-    count = F.least(F.lit(1) if share is None else F.greatest(F.lit(1), F.ceil(n * share).cast("int")), places)
-    start = F.pmod(seed, F.greatest(places, F.lit(1)).cast("long")).cast("int")
-    kept = F.filter(w, lambda word, i: (i < fixed) | (F.pmod(i - fixed - start, F.greatest(places, F.lit(1))) >= count))
-    return F.when(n <= 1, x).otherwise(F.array_join(kept, " "))
+    def cut(s: Column) -> Column:
+        n = F.size(s["w"])
+        fixed = F.when(n > 2, 1).otherwise(0)
+        places = n - fixed
+        count = F.least(F.lit(1) if share is None else F.greatest(F.lit(1), F.ceil(n * share).cast("int")), places)
+        start = F.pmod(s["seed"], F.greatest(places, F.lit(1)).cast("long")).cast("int")
+        run = F.struct(s["w"].alias("w"), fixed.alias("fixed"), F.greatest(places, F.lit(1)).alias("places"), count.alias("count"), start.alias("start"))
+        kept = lambda r: F.filter(r["w"], lambda word, i: (i < r["fixed"]) | (F.pmod(i - r["fixed"] - r["start"], r["places"]) >= r["count"]))
+        return F.when(n <= 1, s["x"]).otherwise(F.array_join(bound(run, kept), " "))
+
+    return bound(F.struct(x.alias("x"), split_words(x).alias("w"), seed.alias("seed")), cut)
 
 
 def shorten(x: Column, share: float) -> Column:
@@ -115,17 +125,25 @@ def typo(x: Column, seed: Column, high: bool = False) -> Column:
 
     In high severity another such place, unless it is one of the two, gets an x, or a q where an x is.
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.when(F.regexp_like(F.substring(x, i, F.lit(2)), F.lit(r"^\p{L}{2}$")), i))
-    places = F.filter(pairs, lambda i: i.isNotNull())
-    n = F.greatest(F.size(places), F.lit(1)).cast("long")
-    at = F.get(places, F.pmod(seed, n).cast("int"))
-    swapped = F.concat(F.substring(x, F.lit(1), at - 1), F.substring(x, at + 1, F.lit(1)), F.substring(x, at, F.lit(1)), F.substring(x, at + 2, F.length(x)))
-    if high:
-        other = F.get(places, F.pmod(F.floor(seed / 17) + 1, n).cast("int"))
-        letter = F.when(F.lower(F.substring(swapped, other, F.lit(1))) == "x", "q").otherwise("x")
-        changed = F.concat(F.substring(swapped, F.lit(1), other - 1), letter, F.substring(swapped, other + 1, F.length(swapped)))
-        swapped = F.when((F.size(places) > 1) & ~other.isin(at, at + 1), changed).otherwise(swapped)
-    return F.when(F.size(places) == 0, x).otherwise(swapped)
+
+    def pairs(s: Column) -> Column:
+        both = lambda i: F.concat(F.get(s["chars"], i - 1), F.get(s["chars"], i))
+        return F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["chars"]) - 1, F.lit(1))), lambda i: F.regexp_like(both(i), F.lit(r"^\p{L}{2}$")))
+
+    def swap(s: Column) -> Column:
+        x, places = s["x"], s["places"]
+        n = F.greatest(F.size(places), F.lit(1)).cast("long")
+        at = F.get(places, F.pmod(s["seed"], n).cast("int"))
+        swapped = F.concat(F.substring(x, F.lit(1), at - 1), F.substring(x, at + 1, F.lit(1)), F.substring(x, at, F.lit(1)), F.substring(x, at + 2, F.length(x)))
+        if high:
+            other = F.get(places, F.pmod(F.floor(s["seed"] / 17) + 1, n).cast("int"))
+            letter = F.when(F.lower(F.substring(swapped, other, F.lit(1))) == "x", "q").otherwise("x")
+            changed = F.concat(F.substring(swapped, F.lit(1), other - 1), letter, F.substring(swapped, other + 1, F.length(swapped)))
+            swapped = F.when((F.size(places) > 1) & ~other.isin(at, at + 1), changed).otherwise(swapped)
+        return F.when(F.size(places) == 0, x).otherwise(swapped)
+
+    chars = F.struct(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)).alias("chars"))
+    return bound(F.struct(x.alias("x"), seed.alias("seed"), bound(chars, pairs).alias("places")), swap)
 
 
 def without_token(tokens: Column, i: Column) -> Column:

@@ -368,3 +368,13 @@ def test_index_searches_make_no_row_for_a_pair(spark):
     for df in (got, ranking.sign_top_k(v, q, 10)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "query_id#" not in plan.split("MapInArrow", 1)[1].split("\n", 1)[1]
+
+
+def test_corruptions_grow_with_the_text(spark):
+    """A text's words, pairs of letters and seed are computed once, not once for each word or place: no lambda holds a digest."""
+    import re
+
+    for make in (lambda x, s: T.typo(x, s, high=True), lambda x, s: T.delete_words(x, s, 0.3), lambda x, s: T.delete_words(x, s, None)):
+        df = spark.createDataFrame([("ab cé 漢字 𝒳𝒴 x",), ("",), ("a",)], "x string").select(make(F.col("x"), T.stable_seed(F.lit(5), F.col("x"))).alias("y"))
+        assert len(re.findall(r"sha2\(", df._jdf.queryExecution().optimizedPlan().toString())) == 1
+        assert [r.y for r in df.collect()][1:] == ["", "a"]

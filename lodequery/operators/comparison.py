@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_case, jaccard
 
+#: Bytes of queries' words that are sent to every machine at once.
+SLAB_BYTES = 32 << 20
+
 
 def _mean(c: Column, name: str) -> Column:
     return F.round(F.avg(c), 6).alias(name)
@@ -83,6 +90,63 @@ def lexical_dense(dense: DataFrame, lexical: DataFrame, likeness: DataFrame, low
     )
 
 
+def sets_alike(queries: DataFrame, candidates: DataFrame, low: float, slab: int = SLAB_BYTES) -> DataFrame:
+    """(query_id, likeness): a likeness over `low` of each query that has one with another id of its group.
+
+    Both tables are (id, group, tokens), tokens a set of strings; likeness is that of Jaccard, and
+    rows where the id or the group is null match nothing. Every candidate is compared with each
+    query of its group until one is found; queries are sent to all machines, `slab` bytes of
+    tokens at a time, so no row is made for a pair and nothing is shuffled but what is found.
+    """
+    q, c = (df.select(F.col("id").cast("long").alias("id"), F.col("group").cast("string").alias("group"), "tokens").filter("id is not null and group is not null and size(tokens) > 0") for df in (queries, candidates))
+    held = q.agg(F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda s, w: s + F.octet_length(w) + 4))).first()[0] or 0
+    slabs = max(1, -(-held // slab))
+    found = [_slab_alike(q.filter(F.pmod(F.xxhash64("id"), F.lit(slabs)) == i), c, low) for i in range(slabs)]
+    return reduce(DataFrame.union, found).groupBy("query_id").agg(F.max("likeness").alias("likeness"))
+
+
+def _slab_alike(q: DataFrame, c: DataFrame, low: float) -> DataFrame:
+    shared = q.sparkSession.sparkContext.broadcast(q.toArrow().combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        values, sizes = _flat(asked.column("tokens"))
+        vocabulary = pc.unique(values)
+        codes = np.split(pc.index_in(values, value_set=vocabulary).to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1])
+        ids, best = asked.column("id").to_numpy(), np.zeros(len(sizes))
+        open_by: dict[str, list[int]] = {}
+        for i, group in enumerate(asked.column("group").to_pylist()):
+            open_by.setdefault(group, []).append(i)
+        mark = np.zeros(len(vocabulary) + 1, np.uint8)
+        for batch in batches:
+            groups = np.array(batch.column(1).to_pylist(), object)
+            for group in set(groups.tolist()) & open_by.keys():
+                rows, at, width = np.flatnonzero(groups == group), 0, 16
+                while at < len(rows) and open_by[group]:
+                    part = batch.take(pa.array(rows[at : at + width]))
+                    values, widths = _flat(part.column(2))
+                    words = pc.fill_null(pc.index_in(values, value_set=vocabulary), len(vocabulary)).to_numpy(zero_copy_only=False)
+                    starts, others = np.cumsum(widths) - widths, part.column(0).to_numpy(zero_copy_only=False)
+                    for i in open_by[group]:
+                        mark[codes[i]] = 1
+                        both = np.add.reduceat(mark[words], starts, dtype=np.int64)
+                        mark[codes[i]] = 0
+                        best[i] = np.where(others == ids[i], 0.0, both / (widths + sizes[i] - both)).max()
+                    open_by[group] = [i for i in open_by[group] if best[i] <= low]
+                    at, width = at + width, min(2 * width, 1024)
+        over = np.flatnonzero(best > low)
+        if len(over):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[over]), pa.array(best[over])], names=["query_id", "likeness"])
+
+    return c.mapInArrow(run, "query_id long, likeness double")
+
+
+def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists, and each list's length."""
+    values = pc.list_flatten(lists)
+    return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values, pc.list_value_length(lists).to_numpy(zero_copy_only=False) if isinstance(lists, pa.Array) else pc.list_value_length(lists).to_numpy()
+
+
 def exemplars(per_query: DataFrame, category: str = "category", order: str = "query_id") -> DataFrame:
     """The first query of every category, in a single aggregation."""
     return per_query.groupBy(category).agg(F.min(order).alias("first_query"), F.count(F.lit(1)).alias("queries"))

@@ -124,10 +124,10 @@ select count(*) as queries, coalesce(sum((ap.hit_at_10 > 0 and bp.hit_at_10 = 0)
  sum(((ap.hit_at_10 > 0) = (bp.hit_at_10 > 0))::int)::bigint as ties, sum((coalesce(likeness, 0) <= 0.2)::int)::bigint as low_overlap from ap join bp using (query_id) left join l using (query_id)"""
 )
 def lexical_dense_wins(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.array_distinct(taxonomy_words(F.coalesce("text", F.lit("")))).alias("t"))
-    side = lambda k, n: words.select(F.col("doc_id").alias(k), F.col("t").alias(n))
-    both = vq.qrels(spark, sf).join(side("query_id", "x"), "query_id").join(side("candidate_id", "y"), "candidate_id")
-    alike = both.groupBy("query_id").agg(F.max(jaccard(F.col("x"), F.col("y"))).alias("likeness"))
+    words = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(taxonomy_words(F.coalesce("text", F.lit("")))).alias("tokens"))
+    sets = lambda v: v.select("id", F.col("label").alias("group")).join(words, "id")
+    v = vq.vectors(spark, sf)
+    alike = cmp.sets_alike(sets(vq.asked(v)), sets(v), 0.2)
     hit = lambda p: p.select("query_id", (F.col("hit_at_10") > 0).alias("hit"))
     return cmp.lexical_dense(hit(vq.per_a(spark, sf)), hit(vq.per_b(spark, sf)), alike)
 

@@ -378,3 +378,34 @@ def test_corruptions_grow_with_the_text(spark):
         df = spark.createDataFrame([("ab cé 漢字 𝒳𝒴 x",), ("",), ("a",)], "x string").select(make(F.col("x"), T.stable_seed(F.lit(5), F.col("x"))).alias("y"))
         assert len(re.findall(r"sha2\(", df._jdf.queryExecution().optimizedPlan().toString())) == 1
         assert [r.y for r in df.collect()][1:] == ["", "a"]
+
+
+def test_sets_alike_matches_a_loop(spark):
+    """Each query's find is over the bound and exact; equal ids, other groups, nulls and a likeness of just the bound don't count."""
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, i % 3 if i % 11 else None, r.sample(words, r.choice([0, 1, 2, 5, 12, 30]))) for i in range(300)]
+    rows += [(1000, 7, list("abcde")), (1001, 7, ["a"]), (1000, 7, list("abcde")), (1010, 8, list("abcd")), (1011, 8, ["a"]), (1020, 9, None), (None, 8, list("abcd"))]
+    table = spark.createDataFrame(rows, "id long, group int, tokens array<string>").repartition(3)
+    for slab in (700, 1 << 20):
+        got = {x.query_id: x.likeness for x in comparison.sets_alike(table.filter("id % 10 = 0"), table, 0.2, slab).collect()}
+        for i, g, t in rows:
+            if i is None or i % 10:
+                continue
+            each = {len({*t} & {*u}) / len({*t} | {*u}) for j, h, u in rows if t and u and j is not None and j != i and g is not None and h == g}
+            assert (i in got) == any(x > 0.2 for x in each), i
+            assert i not in got or min(abs(got[i] - x) for x in each) < 1e-12
+    assert 1000 not in got and got[1010] == 0.25
+
+
+def test_lexical_dense_wins_lists_no_pairs_of_a_label(spark, tmp_path, monkeypatch):
+    from lodequery.plans import comparison_queries
+    from lodequery.plans import vector_queries as vq
+
+    monkeypatch.delattr(vq, "qrels")  # a row for each pair of a label
+    spark.createDataFrame([(i, i % 3, [1.0 * i, 1.0] * 16) for i in range(40)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"one two {i % 7} three" if i < 30 else None) for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = comparison_queries.lexical_dense_wins(spark, str(tmp_path))
+    assert (df.first().queries, df.first().low_overlap) == (4, 1)

@@ -1,7 +1,7 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule scores a document (higher is worse) and has a fixed grid of cutoffs. Some of the
-labelled documents, by hash and from all strata together, choose a path: joint settings of all
+labelled documents, a quarter by hash and from all strata together, choose a path: joint settings of all
 rules, each a little stricter than the one before, first those that reject most bad documents for
 each good one. All other labelled documents are the holdout. In each stratum the settings are
 tested on it in the path's order: the null hypothesis that a setting rejects more than ALPHA of
@@ -27,8 +27,8 @@ from .common import SPACES, materialise, text_of
 ALPHA = 0.02
 DELTA = 0.05
 COST = 4.0
-#: One of PATH_PART labelled documents may choose the path, at most PATH_ROWS of them.
-PATH_PART, PATH_ROWS = 4, 20_000
+#: One of PATH_PART labelled documents chooses the path, all others are the holdout.
+PATH_PART = 4
 SYMBOLS = "#*$%&|<>"
 
 #: Cutoffs by rule, mildest first. A score above the cutoff rejects.
@@ -160,20 +160,22 @@ def least_good(level: float, alpha: float) -> int:
     return math.ceil(math.log(level) / math.log1p(-alpha))
 
 
-def choose_path(bins: np.ndarray, good: np.ndarray, cost: float = COST) -> list[list[int]]:
+def choose_path(bins: np.ndarray, good: np.ndarray, cost: float = COST, many: np.ndarray | None = None) -> list[list[int]]:
     """Joint settings from mild to strict; of each rule the number of cutoffs that a document must exceed to be rejected.
 
-    bins (documents, rules), good (documents). Each step tightens the one rule by whose next
+    bins (documents, rules), good (documents), and if rows stand for several documents, how many. Each step tightens the one rule by whose next
     cutoffs most bad documents go for each good one, until no rule rejects more bad ones at least at cost.
     """
     sizes = [len(g) for g in GRID.values()]
     now, path, left = [n + 1 for n in sizes], [], np.ones(len(good), bool)
+    many = np.ones(len(good), np.int64) if many is None else many
     while True:
         best, found = 0.0, None
         for r, top in enumerate(now):
+            # documents left by how many cutoffs they exceed, and with every larger number
+            of = [np.bincount(bins[rows, r], many[rows], sizes[r] + 1)[::-1].cumsum()[::-1] for rows in (left & ~good, left & good)]
             for cut in range(top - 1, 0, -1):
-                hit = left & (bins[:, r] >= cut)
-                caught, lost = int((hit & ~good).sum()), int((hit & good).sum())
+                caught, lost = int(of[0][cut]), int(of[1][cut])
                 if caught and caught > cost * lost and (worth := caught / (lost + 0.5)) > best:
                     best, found = worth, (r, cut)
         if found is None:
@@ -217,9 +219,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     labelled = table.filter(~F.col("base_failed")).join(known, "doc_id").groupBy("stratum", "mark").agg(F.max("quality").alias("quality"), F.first("bins").alias("bins"))
     part = F.pmod(F.xxhash64("mark", F.lit(PATH_PART)), F.lit(PATH_PART))
-    # a bounded sample that fits the path: the first by hash
-    fitted = labelled.filter(part == 0).orderBy(F.xxhash64("mark"), "stratum").limit(PATH_ROWS).select("quality", "bins").collect()
-    path = choose_path(np.array([r.bins for r in fitted], np.int64).reshape(-1, len(GRID)), np.array([r.quality for r in fitted]) > 0)
+    # all of the path's documents, as counts of the settings they exceed: 5 bits for each rule
+    key = F.aggregate("bins", F.lit(0).cast("long"), lambda k, j: k * 32 + j)
+    fitted = labelled.filter(part == 0).groupBy(key.alias("key"), (F.col("quality") > 0).alias("good")).count().toArrow()
+    keys, good, many = (fitted.column(c).to_numpy() for c in ("key", "good", "count"))
+    bins = keys[:, None] >> (5 * np.arange(len(GRID) - 1, -1, -1)) & 31
+    path = choose_path(bins.astype(np.int64), good.astype(bool), many=many)
     lookup = F.array(*[F.array(*map(F.lit, steps)) for steps in first_steps(path)])
     steps = F.transform("bins", lambda j, r: F.get(F.get(lookup, r), j))
     held = labelled.filter(part != 0).select("stratum", "quality", F.array_min(steps).alias("step"))

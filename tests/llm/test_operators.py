@@ -103,6 +103,22 @@ def test_kept_matches_a_loop(spark, odd):
                 assert got[i]["base_failed"] == texts[i][2] and got[i]["kept"] == (not texts[i][2] and not rejected(i, best))
 
 
+def test_every_labelled_document_counts(spark, odd, monkeypatch):
+    """All documents of the path's part choose it, as counts of equal settings; no bound cuts them off."""
+    monkeypatch.setattr(quality, "PATH_ROWS", 1, raising=False)
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) + ("!" * (i % 40) if i % 2 else "") for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], odd.schema)
+    marked = spark.createDataFrame([(i, 1 - i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    paths, choose = [], quality.choose_path
+    monkeypatch.setattr(quality, "choose_path", lambda *a, **k: paths.append(((a, k), choose(*a, **k))) or paths[-1][1])
+    quality.judge(docs, marked)
+    part = f"pmod(xxhash64(xxhash64(text), {quality.PATH_PART}), {quality.PATH_PART}) = 0"
+    rows = quality.features(docs).join(docs.filter(part).select("doc_id"), "doc_id").collect()
+    want = choose(np.array([r.bins for r in rows]), np.array([r.doc_id % 2 == 0 for r in rows]))
+    (_, named), got = paths[0]
+    assert named["many"].sum() == len(rows) > 100 and got == want and want
+
+
 def test_judge_odd_rows(odd, none, labels):
     out = {r["doc_id"]: r for r in rows_of(quality.judge(odd, labels))}
     assert len(rows_of(quality.judge(odd, labels))) == odd.count()

@@ -16,6 +16,7 @@ once and never shuffled.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,10 +37,12 @@ WINDOW, OVERLAP = 64, 16
 WIDTH, HIDDEN = 24, 32
 #: Ids with a class of their own, and classes of CLASS_SIZE ids after them; all other ids are in one class.
 OWN_CLASS, CLASSES, CLASS_SIZE = 96, 32, 128
-#: Up to so many code points (as four an id) the attention model learns from all windows of the training fold, beyond from a share of them that grows with the square root of all.
+#: Up to so many code points (as four an id) the attention model learns all windows of the training fold on the driver; beyond, as many make its start, from which every task learns all windows of its texts.
 ALL_CHARS = 4_000_000
 #: Windows of a step, and the least number of steps; more windows mean more steps.
 STEPS, BATCH, RATE = 500, 16, 0.02
+#: The same of a task that learns from the start, its windows mixed at once, and ids of the embeddings that are averaged together.
+TASK_BATCH, TASK_RATE, MIXED, SLICE = 64, 0.008, 4096, 512
 #: Code points of a block of texts, and of the texts whose words a range of hashes is cut for.
 BLOCK_CHARS, RANGE_CHARS = 24_000_000, 128_000_000
 SEED = 5
@@ -114,41 +117,34 @@ def step(m: Model, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tu
     """Mean loss of the target ids over a batch of windows, and its gradients, with the rows of the embeddings and the classes that they concern."""
     gap, past = distances()
     x = m.embed[ids]
-    q, k, v = x @ m.query, x @ m.key, x @ m.value
     scale = WIDTH**-0.5  # a Python float: float32 stays float32
-    logits = np.where(past, q @ k.transpose(0, 2, 1) * scale + m.back[gap], -1e9)
-    a = np.exp(logits - logits.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
+    q, k, v = x @ (m.query * scale), x @ m.key, x @ m.value
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(past, m.back[gap], -1e9)
+    a, total = _exp_rows(a)
+    a *= 1.0 / total[..., None]
     c = a @ v
-    h = np.tanh(x @ m.own + c @ m.seen + m.shift)
+    h = x @ m.own
+    h += c @ m.seen
+    h += m.shift
+    np.tanh(h, out=h)
     flat = lambda t: t.reshape(-1, t.shape[-1])
     at = np.flatnonzero(real)
     n = max(1, len(at))
     goal, g = targets.ravel()[at], {}
     state = flat(h)[at]
-    z = state @ m.out + m.out_shift
-    z -= z.max(-1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(-1, keepdims=True)
-    place = np.arange(len(at)), m.classes[goal]
-    loss = -float(np.log(p[place] + 1e-12).sum() + m.within[goal].sum())
-    p[place] -= 1.0
-    p /= n
+    p, lost = _missed(state, m.out, m.out_shift, m.classes[goal], n)
+    loss = lost - float(m.within[goal].sum())
     g["out"], g["out_shift"] = state.T @ p, p.sum(0)
     dstate = p @ m.out.T
     fine, shift, used = [], [], []
     rows = np.flatnonzero(m.inner[goal] >= 0)
     for kind, part in _by_class(m.classes[goal[rows]] - OWN_CLASS, rows):
-        z = state[part] @ m.fine[kind] + m.fine_shift[kind]
-        z -= z.max(-1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(-1, keepdims=True)
-        place = np.arange(len(part)), m.inner[goal[part]]
-        loss -= float(np.log(p[place] + 1e-12).sum())
-        p[place] -= 1.0
-        p /= n
+        own = state[part]
+        p, lost = _missed(own, m.fine[kind], m.fine_shift[kind], m.inner[goal[part]], n)
+        loss += lost
         used.append(kind)
-        fine.append(state[part].T @ p)
+        fine.append(own.T @ p)
         shift.append(p.sum(0))
         dstate[part] += p @ m.fine[kind].T
     g["used"] = np.array(used, np.int64)
@@ -159,19 +155,42 @@ def step(m: Model, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tu
     dh = dh.reshape(h.shape) * (1.0 - h * h)
     g["own"], g["seen"], g["shift"] = flat(x).T @ flat(dh), flat(c).T @ flat(dh), flat(dh).sum(0)
     dc = dh @ m.seen.T
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    ds = np.where(past, ds, 0.0)
+    ds, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
+    ds -= (dc * c).sum(-1, keepdims=True)  # what a weighs of dc @ v
+    ds *= a
     g["back"] = np.bincount(gap.ravel(), ds.sum(0).ravel() * past.ravel(), WINDOW)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
+    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q  # q is scaled already
     g["query"], g["key"], g["value"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
     dx = dh @ m.own.T + dq @ m.query.T + dk @ m.key.T + dv @ m.value.T
-    order = np.argsort(ids, axis=None, kind="stable")
-    rows, begins = np.unique(ids.ravel()[order], return_index=True)
-    g["rows"], g["embed"] = rows, np.add.reduceat(flat(dx)[order], begins, axis=0)
+    rows, at = np.unique(ids, return_inverse=True)
+    g["rows"], g["embed"] = rows, np.stack([np.bincount(at.ravel(), column, len(rows)) for column in flat(dx).T], axis=1)
     return loss / n, g
 
 
+def _exp_rows(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) and its rows' sums, each row times a number of its own where they could leave the range of float32; z may be overwritten."""
+    if z.size and z.max() < 60.0:
+        p = np.exp(z)
+        total = p @ np.ones(z.shape[-1], z.dtype)
+        if total.min() > 1e-20:
+            return p, total
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z.sum(-1)
+
+
+def _missed(state: np.ndarray, weights: np.ndarray, shift: np.ndarray, goal: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """The gradient of a softmax's outputs for the mean loss over n ids, and the loss, not divided."""
+    p = state @ weights
+    p += shift
+    p, total = _exp_rows(p)
+    place = np.arange(len(goal)), goal
+    lost = -float(np.log(p[place] / total + 1e-12).sum())
+    p *= (1.0 / (total * n))[:, None]
+    p[place] -= 1.0 / n
+    return p, lost
+
+
 def _by_class(kinds: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The rows of every class that occurs."""
     order = np.argsort(kinds, kind="stable")
@@ -198,8 +217,11 @@ def train(sequences: list[np.ndarray], vocabulary: int, end: int, steps: int = S
     return learn(m, (batch() for _ in range(steps)), steps)
 
 
-def learn(m: Model, batches: Iterable[np.ndarray], steps: int) -> tuple[Model, list[float]]:
-    """Adam over batches of windows: rows of WINDOW + 1 ids, -1 after their end. Of the embeddings and the classes only those that a batch reads move."""
+def learn(m: Model, batches: Iterable[np.ndarray], steps: int | None) -> tuple[Model, list[float]]:
+    """Adam over batches of windows: rows of WINDOW + 1 ids, -1 after their end. Of the embeddings and the classes only those that a batch reads move.
+
+    The rate falls over that many steps; without a number it is TASK_RATE throughout.
+    """
     losses: list[float] = []
     first = {k: np.zeros_like(getattr(m, k)) for k in m.PARTS}
     second = {k: np.zeros_like(getattr(m, k)) for k in m.PARTS}
@@ -208,19 +230,19 @@ def learn(m: Model, batches: Iterable[np.ndarray], steps: int) -> tuple[Model, l
         ids, targets = np.maximum(block[:, :-1], 0), np.maximum(block[:, 1:], 0)
         loss, g = step(m, ids, targets, real)
         losses.append(loss)
-        rate = RATE * min(1.0, t / 20) * (1.0 - 0.9 * t / steps)
+        rate = min(1.0, t / 20) * (TASK_RATE if steps is None else RATE * (1.0 - 0.9 * t / steps))
         for k in m.PARTS:
             at, grad = g["rows"] if k == "embed" else g["used"] if k in ("fine", "fine_shift") else slice(None), g[k]
             one = first[k][at] = 0.9 * first[k][at] + 0.1 * grad
-            two = second[k][at] = 0.99 * second[k][at] + 0.01 * grad**2
-            getattr(m, k)[at] -= rate * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-8)
+            two = second[k][at] = 0.99 * second[k][at] + 0.01 * (grad * grad)
+            getattr(m, k)[at] -= rate / (1 - 0.9**t) * one / (np.sqrt(two * (1 / (1 - 0.99**t))) + 1e-8)
     return m, losses
 
 
 class Scorer:
     """Scores id sequences. What attention needs of an id hangs on the id alone, so it is looked up."""
 
-    def __init__(self, m: Model, window_batch: int = 256):
+    def __init__(self, m: Model, window_batch: int = 64):
         self.m, self.window_batch = m, window_batch
         self.q, self.k, self.v = (m.embed @ m.query) / np.sqrt(WIDTH).astype(np.float32), m.embed @ m.key, m.embed @ m.value
         self.own = m.embed @ m.own + m.shift
@@ -265,10 +287,9 @@ class Scorer:
         late = ids[:, skip:]
         a = self.q[late] @ self.k[ids].transpose(0, 2, 1)
         a += self.bias[skip:width, :width]
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
+        a, sums = _exp_rows(a)
         c = a @ self.v[ids]
-        c /= a.sum(-1, keepdims=True)
+        c /= sums[..., None]
         at = np.nonzero(targets >= 0)
         h = self.own[late[at]]
         h += c[at] @ m.seen
@@ -287,10 +308,15 @@ class Scorer:
 
 def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log softmax of each row at one place; z is overwritten."""
-    z -= z.max(-1, keepdims=True)
     got = z[np.arange(len(at)), at]
+    if z.size and z.max() < 60.0:
+        total = np.exp(z) @ np.ones(z.shape[-1], z.dtype)
+        if total.min() > 1e-20:
+            return got - np.log(total)
+    top = z.max(-1)
+    z -= top[:, None]
     np.exp(z, out=z)
-    return got - np.log(z.sum(-1))
+    return got - top - np.log(z.sum(-1))
 
 
 ENCODED = "block long, row long, doc_id long, held_out boolean, places binary, ids binary, range int, hashes binary, at binary, counts binary, training long"
@@ -384,16 +410,112 @@ def _lessons(rows: DataFrame, tokenizer: str, share: float) -> DataFrame:
     return materialise(rows.select("ids").mapInArrow(run, "order long, window binary"), "lm-lessons")
 
 
+def _padded(windows: list[bytes]) -> np.ndarray:
+    out = np.full((len(windows), WINDOW + 1), -1, np.int64)
+    for i, raw in enumerate(windows):
+        ids = np.frombuffer(raw, np.int32)
+        out[i, : len(ids)] = ids
+    return out
+
+
+def _parts(m: Model) -> dict[int, list[tuple[str, slice]]]:
+    """What is averaged together: slices of the embeddings, each class of ids, and all the rest."""
+    out: dict[int, list[tuple[str, slice]]] = {0: [(k, slice(None)) for k in m.PARTS if k not in ("embed", "fine", "fine_shift")]}
+    for kind in range(len(m.fine)):
+        out[1 + kind] = [(k, slice(kind, kind + 1)) for k in ("fine", "fine_shift")]
+    for at in range(0, len(m.embed), SLICE):
+        out[1 + len(m.fine) + at // SLICE] = [("embed", slice(at, at + SLICE))]
+    return out
+
+
+def learn_everywhere(rows: DataFrame, start: Model) -> Model:
+    """Every task learns from all windows of its texts, each once, beginning with `start`; then the tasks' parameters are averaged.
+
+    rows (ids). A task weighs by its windows, in an id's embedding by how often it read the id, and
+    in a class by how often it predicted one of its ids. What no task read stays as it is. Tasks
+    report slices of parameters, which are averaged where they meet; the driver gets one model.
+    """
+    shared, size, end = rows.sparkSession.sparkContext.broadcast(start), len(start.classes), start.end
+    schema = "part int, weights binary, values binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = dataclasses.replace(shared.value, **{k: getattr(shared.value, k).copy() for k in Model.PARTS})
+        read, aimed, seen = np.zeros(size), np.zeros(len(m.fine)), 0
+        r = np.random.default_rng([SEED, TaskContext.get().partitionId()])
+
+        def blocks() -> Iterator[np.ndarray]:
+            nonlocal read, aimed, seen
+            held: list[np.ndarray] = []
+            many = 0
+
+            def mixed() -> Iterator[np.ndarray]:
+                block = np.concatenate(held)
+                block = block[r.permutation(len(block))]
+                for at in range(0, len(block), TASK_BATCH):
+                    yield block[at : at + TASK_BATCH]
+
+            for batch in batches:
+                for raw in batch.column(0):
+                    whole = np.concatenate([[end], _ids(raw.as_py(), size), [end]]).astype(np.int64)
+                    n = -(-(len(whole) - 1) // WINDOW)
+                    targets = np.full(n * WINDOW, -1, np.int64)
+                    targets[: len(whole) - 1] = whole[1:]
+                    block = np.column_stack([whole[:-1:WINDOW], targets.reshape(n, WINDOW)])
+                    read += np.bincount(whole[:-1], minlength=size)
+                    placed = whole[1:][m.inner[whole[1:]] >= 0]
+                    aimed += np.bincount(m.classes[placed] - OWN_CLASS, minlength=len(aimed))
+                    seen += n
+                    held.append(block)
+                    many += n
+                    if many >= MIXED:
+                        yield from mixed()
+                        held, many = [], 0
+            if held:
+                yield from mixed()
+
+        learn(m, blocks(), None)
+        if not seen:
+            return
+        for part, pieces in _parts(m).items():
+            weights = np.array([seen], float) if not part else aimed[part - 1 : part] if part <= len(aimed) else read[pieces[0][1]]
+            if weights.any():
+                values = b"".join(getattr(m, k)[at].astype(np.float32).tobytes() for k, at in pieces)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([values], pa.binary())], names=["part", "weights", "values"])
+
+    def average(table: pa.Table) -> pa.Table:
+        weight, total = 0.0, 0.0
+        for w, v in sorted(zip(table.column("weights").to_pylist(), table.column("values").to_pylist(), strict=True)):
+            w = np.frombuffer(w)
+            weight = weight + w
+            total = total + w[:, None] * np.frombuffer(v, np.float32).reshape(len(w), -1)
+        weight, mean = np.asarray(weight), total / np.maximum(weight, 1)[:, None]
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "weights": pa.array([weight.tobytes()], pa.binary()), "values": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+    learned = materialise(rows.select("ids").mapInArrow(run, schema), "lm-learned")
+    out = dataclasses.replace(start, **{k: getattr(start, k).copy() for k in Model.PARTS})
+    parts = _parts(out)
+    for row in learned.groupBy("part").applyInArrow(average, schema).collect():
+        moved, values, at = np.frombuffer(row["weights"]) > 0, np.frombuffer(row["values"], np.float32), 0
+        for k, piece in parts[row["part"]]:
+            old = getattr(out, k)[piece]
+            new = values[at : at + old.size].reshape(old.shape)
+            getattr(out, k)[piece] = np.where(moved[:, None], new, old) if k == "embed" else new
+            at += old.size
+    drop_scratch(learned)
+    return out
+
+
 def fit(docs: DataFrame, tokenizer: str = TOKENIZER, full: int = ALL_CHARS, steps: int = STEPS) -> Model:
-    """Counts the ids of all documents outside the held-out fold, and learns from a share of all their windows by hash, each once: all up to `full` code points, then the square root of full / all.
+    """Counts the ids and learns from all windows of all documents outside the held-out fold.
 
-    docs may be documents or what encoded() made of them. A small corpus's windows are repeated
-    until `steps` are done. Windows pass the driver in the order of a hash, a batch at a time, so
-    its memory doesn't grow with the corpus; its time does.
+    docs may be documents or what encoded() made of them. Up to `full` code points the driver
+    learns, and a small corpus's windows are repeated until `steps` are done. Beyond, it learns the
+    start from about that many code points' windows by hash, in the order of a hash, and then every
+    task learns from all windows of its texts.
     """
     rows = (docs if "places" in docs.columns else encoded(docs, tokenizer)).filter("range is null and not held_out")
     total = 4 * (rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // (2 if bpe(tokenizer).size <= 1 << 16 else 4)
-    lessons = _lessons(rows, tokenizer, min(1.0, (full / max(1, total)) ** 0.5))
+    lessons = _lessons(rows, tokenizer, min(1.0, full / max(1, total)))
     tok = bpe(tokenizer)
     end = tok.special["<|endoftext|>"]
     counts = np.zeros(tok.size)
@@ -401,38 +523,12 @@ def fit(docs: DataFrame, tokenizer: str = TOKENIZER, full: int = ALL_CHARS, step
         counts += np.frombuffer(r[0], np.int64)
     counts[end] += 1
     m = untrained(tok.size, end, counts)
-    windows = lessons.filter("order is not null")
-    n = windows.count()
-    if not n:
-        return m
-    steps = max(steps, -(-n // BATCH))
-
-    def block(part: list) -> np.ndarray:
-        out = np.full((len(part), WINDOW + 1), -1, np.int64)
-        for i, raw in enumerate(part):
-            ids = np.frombuffer(raw, np.int32)
-            out[i, : len(ids)] = ids
-        return out
-
-    def batches() -> Iterator[np.ndarray]:
-        ordered = windows.orderBy("order", "window").select("window")
-        if n <= STEPS * BATCH:
-            few = [r[0] for r in ordered.collect()]
-            for t in range(steps):
-                yield block([few[i % n] for i in range(t * BATCH, (t + 1) * BATCH)])
-            return
-        part: list = []
-        for r in ordered.toLocalIterator():
-            part.append(r[0])
-            if len(part) == BATCH:
-                yield block(part)
-                part = []
-        if part:
-            yield block(part)
-
-    learned = learn(m, batches(), steps)[0]
+    few = [r[0] for r in lessons.filter("order is not null").orderBy("order", "window").select("window").collect()]
     drop_scratch(lessons)
-    return learned
+    if few:
+        steps = max(steps, -(-len(few) // BATCH))
+        m = learn(m, (_padded([few[i % len(few)] for i in range(t * BATCH, (t + 1) * BATCH)]) for t in range(steps)), steps)[0]
+    return learn_everywhere(rows, m) if total > full else m
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:

@@ -541,6 +541,30 @@ def test_fit_reads_every_training_text(spark, odd):
     assert moved[tok.encode(long)[1:]].all()
 
 
+def test_no_training_window_is_left_out_of_a_larger_corpus(spark, odd):
+    """Beyond the driver's code points every window teaches: what each text's ids say moves, and nothing else does."""
+    texts = {i: f"short text {i} " + " ".join(f"{i * 7 + k}" for k in range(90 if i % 9 == 0 else 1)) for i in range(300)}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], odd.schema).repartition(3)
+    model = lm.fit(docs, full=400, steps=2)
+    tok = packing.bpe(lm.TOKENIZER)
+    end = tok.special["<|endoftext|>"]
+    read = {int(x) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != lm.HELD_OUT for x in [end, *tok.encode(t)]}
+    fresh = lm.untrained(tok.size, end, np.ones(tok.size))
+    moved = set(np.flatnonzero((model.embed != fresh.embed).any(1)).tolist())
+    assert moved == read and all(np.isfinite(getattr(model, k)).all() for k in model.PARTS)
+
+
+def test_tasks_are_averaged_by_what_they_read(spark):
+    m, _ = lm.train([np.array([5, 6, 7, 8, 99])] * 20, 100, 99, steps=5)
+    rows = [np.tile([5, 6], 100), np.tile([6, 7, 8], 30)]
+    frame = lambda x: spark.createDataFrame(spark.sparkContext.parallelize([(bytearray(r.astype(np.uint16).tobytes()),) for r in x], len(x)), "ids binary")
+    one, two = (lm.learn_everywhere(frame([r]), m) for r in rows)
+    both = lm.learn_everywhere(frame(rows), m)
+    assert np.allclose(both.embed[6], (100 * one.embed[6] + 30 * two.embed[6]) / 130, atol=1e-5)
+    assert (both.embed[50] == m.embed[50]).all() and np.allclose(both.embed[8], two.embed[8], atol=1e-6)
+    assert np.allclose(both.out, (4 * one.out + 2 * two.out) / 6, atol=1e-5)
+
+
 def test_gradients(few_classes):
     model, _ = tiny_model()
     for k in model.PARTS:

@@ -43,6 +43,8 @@ ALL_CHARS = 4_000_000
 STEPS, BATCH, RATE = 500, 16, 0.02
 #: The same of a task that learns from the start, its windows mixed at once, and ids of the embeddings that are averaged together.
 TASK_BATCH, TASK_RATE, MIXED, SLICE = 64, 0.008, 4096, 512
+#: Ids that one of these tasks has at least and about at most, as each reports a model.
+TASK_LEAST, TASK_MOST = 500_000, 16_000_000
 #: Code points of a block of texts, and of the texts whose words a range of hashes is cut for.
 BLOCK_CHARS, RANGE_CHARS = 24_000_000, 128_000_000
 SEED = 5
@@ -528,7 +530,10 @@ def fit(docs: DataFrame, tokenizer: str = TOKENIZER, full: int = ALL_CHARS, step
     if few:
         steps = max(steps, -(-len(few) // BATCH))
         m = learn(m, (_padded([few[i % len(few)] for i in range(t * BATCH, (t + 1) * BATCH)]) for t in range(steps)), steps)[0]
-    return learn_everywhere(rows, m) if total > full else m
+    if total <= full:
+        return m
+    tasks = max(min(3 * docs.sparkSession.sparkContext.defaultParallelism, total // 4 // TASK_LEAST), total // 4 // TASK_MOST, 1)
+    return learn_everywhere(rows.coalesce(tasks), m)  # tasks take neighbouring blocks together, nothing is shuffled
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:

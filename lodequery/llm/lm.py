@@ -52,10 +52,6 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 LN10 = np.log(10.0)
 
 
-def lower_ascii(text: str) -> str:
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-
 @dataclass
 class Model:
     """Parameters of the attention model; of every id its class, its place in it (-1: a class of its own or the last) and, in the last, its log probability."""
@@ -116,90 +112,160 @@ def distances() -> tuple[np.ndarray, np.ndarray]:
 
 
 def step(m: Model, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of the target ids over a batch of windows, and its gradients, with the rows of the embeddings and the classes that they concern."""
+    """Mean loss of the target ids over a batch of windows, and its gradients, with the rows of the embeddings and the classes that they concern.
+
+    Matrices with the same input are one product, a column of ones takes shifts and sums into the
+    products, and softmaxes are divided by their sums where the numbers are few.
+    """
     gap, past = distances()
-    x = m.embed[ids]
     scale = WIDTH**-0.5  # a Python float: float32 stays float32
-    q, k, v = x @ (m.query * scale), x @ m.key, x @ m.value
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(past, m.back[gap], -1e9)
-    a, total = _exp_rows(a)
-    a *= 1.0 / total[..., None]
-    c = a @ v
-    h = x @ m.own
-    h += c @ m.seen
+    x = m.embed[ids.ravel()]
+    joined = np.concatenate([m.query * scale, m.key, m.value, np.zeros_like(m.value[:, :1]), m.own], axis=1)
+    split = [slice(0, WIDTH), slice(WIDTH, 2 * WIDTH), slice(2 * WIDTH, 3 * WIDTH + 1), slice(3 * WIDTH + 1, None)]
+    by_window = lambda t: t.reshape(*ids.shape, -1)
+    found = x @ joined
+    found[:, 3 * WIDTH] = 1.0
+    q, k, v = (by_window(found)[..., at] for at in split[:3])
+    a, c = _attend(q, k, v, np.where(past, m.back[gap], -1e9).astype(x.dtype))
+    sums = c[..., WIDTH:].reshape(-1, 1)
+    c = c[..., :WIDTH].reshape(-1, WIDTH) / sums
+    h = c @ m.seen
+    h += found[:, split[3]]
     h += m.shift
-    np.tanh(h, out=h)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
+    state = np.ones((len(h), HIDDEN + 1), h.dtype)
+    h = state[:, :HIDDEN] = _tanh(h)
     at = np.flatnonzero(real)
     n = max(1, len(at))
     goal, g = targets.ravel()[at], {}
-    state = flat(h)[at]
-    p, lost = _missed(state, m.out, m.out_shift, m.classes[goal], n)
+    if len(at) < len(state):
+        state = state[at]
+    p, total, lost = _missed(state @ np.vstack([m.out, m.out_shift]), m.classes[goal])
     loss = lost - float(m.within[goal].sum())
-    g["out"], g["out_shift"] = state.T @ p, p.sum(0)
+    each = (1.0 / (total * n))[:, None]
+    grad = (p.T @ (state * each)).T
+    g["out"], g["out_shift"] = grad[:HIDDEN], grad[HIDDEN]
     dstate = p @ m.out.T
-    fine, shift, used = [], [], []
-    rows = np.flatnonzero(m.inner[goal] >= 0)
-    for kind, part in _by_class(m.classes[goal[rows]] - OWN_CLASS, rows):
-        own = state[part]
-        p, lost = _missed(own, m.fine[kind], m.fine_shift[kind], m.inner[goal[part]], n)
+    dstate *= each
+    order, kinds, edges = _by_class(m.classes[goal] - OWN_CLASS, np.flatnonzero(m.inner[goal] >= 0))
+    weights = np.concatenate([m.fine, m.fine_shift[:, None]], axis=1)
+    fine = np.empty((len(kinds), *weights.shape[1:]), h.dtype)
+    if len(order):
+        own = state[order]
+        p, total, lost = _missed(_by_weights(own, weights, kinds, edges), m.inner[goal[order]])
         loss += lost
-        used.append(kind)
-        fine.append(own.T @ p)
-        shift.append(p.sum(0))
-        dstate[part] += p @ m.fine[kind].T
-    g["used"] = np.array(used, np.int64)
-    g["fine"] = np.array(fine).reshape(-1, HIDDEN, CLASS_SIZE)
-    g["fine_shift"] = np.array(shift).reshape(-1, CLASS_SIZE)
-    dh = np.zeros_like(flat(h))
-    dh[at] = dstate
-    dh = dh.reshape(h.shape) * (1.0 - h * h)
-    g["own"], g["seen"], g["shift"] = flat(x).T @ flat(dh), flat(c).T @ flat(dh), flat(dh).sum(0)
-    dc = dh @ m.seen.T
-    ds, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds -= (dc * c).sum(-1, keepdims=True)  # what a weighs of dc @ v
+        each = (1.0 / (total * n))[:, None]
+        own *= each
+        more = np.empty((len(order), HIDDEN), h.dtype)
+        for i, kind in enumerate(kinds):
+            part = slice(edges[i], edges[i + 1])
+            np.matmul(own[part].T, p[part], out=fine[i])
+            np.matmul(p[part], m.fine[kind].T, out=more[part])
+        more *= each
+        dstate[order] += more
+    g["used"], g["fine"], g["fine_shift"] = kinds, fine[:, :HIDDEN], fine[:, HIDDEN]
+    dfound = np.empty_like(found)
+    dh = dfound[:, split[3]]
+    if len(at) < len(dh):
+        dfound[:] = 0.0
+        dh[at] = dstate
+    else:
+        dfound[:, 3 * WIDTH] = 0.0
+        dh[:] = dstate
+    dh *= 1.0 - h * h
+    g["seen"], g["shift"] = c.T @ dh, np.ones(len(dh), dh.dtype) @ dh
+    dc = np.empty((len(c), WIDTH + 1), h.dtype)
+    np.matmul(dh, m.seen.T, out=dc[:, :WIDTH])
+    dc[:, :WIDTH] /= sums
+    np.einsum("ij,ij->i", dc[:, :WIDTH], c, out=dc[:, WIDTH])  # what a weighs of dc @ v
+    dc[:, WIDTH] *= -1.0
+    dc = by_window(dc)
+    ds = dc @ v.transpose(0, 2, 1)
     ds *= a
     g["back"] = np.bincount(gap.ravel(), ds.sum(0).ravel() * past.ravel(), WINDOW)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q  # q is scaled already
-    g["query"], g["key"], g["value"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dh @ m.own.T + dq @ m.query.T + dk @ m.key.T + dv @ m.value.T
-    rows, at = np.unique(ids, return_inverse=True)
-    g["rows"], g["embed"] = rows, np.stack([np.bincount(at.ravel(), column, len(rows)) for column in flat(dx).T], axis=1)
+    into = by_window(dfound)
+    np.matmul(ds, k, out=into[..., split[0]])  # of q as it is in joined, scaled
+    np.matmul(ds.transpose(0, 2, 1), q, out=into[..., split[1]])
+    np.matmul(a.transpose(0, 2, 1), dc[..., :WIDTH], out=into[..., 2 * WIDTH : 3 * WIDTH])
+    grad = x.T @ dfound
+    g["query"], g["key"], g["value"], g["own"] = grad[:, split[0]] * scale, grad[:, split[1]], grad[:, 2 * WIDTH : 3 * WIDTH], grad[:, split[3]]
+    g["rows"], g["embed"] = _sums_by_id(ids.ravel(), dfound @ joined.T)
     return loss / n, g
 
 
+def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attention's weights, not divided by their sums, and what they weigh of v; v's last column is ones, so the result's has the sums."""
+    z = q @ k.transpose(0, 2, 1)
+    z += bias
+    with np.errstate(over="ignore", invalid="ignore"):
+        a = np.exp(z)
+        c = a @ v
+    if not _in_range(c[..., -1]):
+        z -= z.max(-1, keepdims=True)
+        a = np.exp(z, out=z)
+        c = a @ v
+    return a, c
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """Quicker than numpy's; x is overwritten."""
+    with np.errstate(over="ignore"):
+        x *= 2.0
+        np.exp(x, out=x)
+        x += 1.0
+        np.divide(-2.0, x, out=x)
+        x += 1.0
+    return x
+
+
+def _in_range(total: np.ndarray) -> bool:
+    return bool(total.min() > 1e-20 and total.max() < 1e28)
+
+
 def _exp_rows(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z) and its rows' sums, each row times a number of its own where they could leave the range of float32; z may be overwritten."""
-    if z.size and z.max() < 60.0:
+    """exp(z) and its rows' sums; where they could leave the range of float32, each row's greatest is taken off z first."""
+    ones = np.ones(z.shape[-1], z.dtype)
+    with np.errstate(over="ignore"):
         p = np.exp(z)
-        total = p @ np.ones(z.shape[-1], z.dtype)
-        if total.min() > 1e-20:
-            return p, total
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z.sum(-1)
-
-
-def _missed(state: np.ndarray, weights: np.ndarray, shift: np.ndarray, goal: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """The gradient of a softmax's outputs for the mean loss over n ids, and the loss, not divided."""
-    p = state @ weights
-    p += shift
-    p, total = _exp_rows(p)
+        total = p @ ones
+    if z.size and not _in_range(total):
+        z -= z.max(-1, keepdims=True)
+        np.exp(z, out=p)
+        total = p @ ones
+    return p, total
+
+
+def _missed(z: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The gradient of a softmax's loss by its inputs z, times the rows' sums, these sums, and the loss, summed up."""
+    p, total = _exp_rows(z)
     place = np.arange(len(goal)), goal
-    lost = -float(np.log(p[place] / total + 1e-12).sum())
-    p *= (1.0 / (total * n))[:, None]
-    p[place] -= 1.0 / n
-    return p, lost
+    hit = p[place]
+    p[place] = hit - total
+    return p, total, -float(np.log(hit / total + 1e-12).sum())
 
 
-def _by_class(kinds: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows of every class that occurs."""
+def _by_class(kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in the order of their classes, the classes that occur, and their edges there."""
+    kinds = kinds[rows].astype(np.int16)  # sorted by radix
     order = np.argsort(kinds, kind="stable")
-    kinds, rows = kinds[order], rows[order]
-    edges = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])) if len(kinds) else []
-    for a, b in zip(edges, [*edges[1:], len(kinds)], strict=True) if len(kinds) else ():
-        yield int(kinds[a]), rows[a:b]
+    counts = np.bincount(kinds, minlength=1)
+    found = np.flatnonzero(counts)
+    return rows[order], found, np.append(0, np.cumsum(counts[found]))
+
+
+def _by_weights(state: np.ndarray, weights: np.ndarray, kinds: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Each class's rows, as _by_class has them, times that class's weights."""
+    z = np.empty((len(state), weights.shape[-1]), state.dtype)
+    for i, kind in enumerate(kinds):
+        np.matmul(state[edges[i] : edges[i + 1]], weights[kind], out=z[edges[i] : edges[i + 1]])
+    return z
+
+
+def _sums_by_id(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, ascending, and the sums of their rows."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[first], np.add.reduceat(values[order], first, axis=0)
 
 
 def train(sequences: list[np.ndarray], vocabulary: int, end: int, steps: int = STEPS) -> tuple[Model, list[float]]:
@@ -234,10 +300,20 @@ def learn(m: Model, batches: Iterable[np.ndarray], steps: int | None) -> tuple[M
         losses.append(loss)
         rate = min(1.0, t / 20) * (TASK_RATE if steps is None else RATE * (1.0 - 0.9 * t / steps))
         for k in m.PARTS:
-            at, grad = g["rows"] if k == "embed" else g["used"] if k in ("fine", "fine_shift") else slice(None), g[k]
-            one = first[k][at] = 0.9 * first[k][at] + 0.1 * grad
-            two = second[k][at] = 0.99 * second[k][at] + 0.01 * (grad * grad)
-            getattr(m, k)[at] -= rate / (1 - 0.9**t) * one / (np.sqrt(two * (1 / (1 - 0.99**t))) + 1e-8)
+            at = g["rows"] if k == "embed" else g["used"] if k in ("fine", "fine_shift") and len(g["used"]) < len(m.fine) else slice(None)
+            grad, one, two = g[k], first[k][at], second[k][at]  # parts of first and second, or copies of their rows
+            one *= 0.9
+            one += 0.1 * grad
+            two *= 0.99
+            two += 0.01 * (grad * grad)
+            move = two * (1 / (1 - 0.99**t))
+            np.sqrt(move, out=move)
+            move += 1e-8
+            np.divide(one, move, out=move)
+            move *= rate / (1 - 0.9**t)
+            getattr(m, k)[at] -= move
+            if not isinstance(at, slice):
+                first[k][at], second[k][at] = one, two
     return m, losses
 
 
@@ -246,8 +322,10 @@ class Scorer:
 
     def __init__(self, m: Model, window_batch: int = 64):
         self.m, self.window_batch = m, window_batch
-        self.q, self.k, self.v = (m.embed @ m.query) / np.sqrt(WIDTH).astype(np.float32), m.embed @ m.key, m.embed @ m.value
-        self.own = m.embed @ m.own + m.shift
+        query = (m.embed @ m.query) / np.sqrt(WIDTH).astype(np.float32)
+        self.asks = np.concatenate([query, m.embed @ m.own + m.shift], axis=1)
+        self.gives = np.concatenate([m.embed @ m.key, m.embed @ m.value, np.ones_like(query[:, :1])], axis=1)
+        self.out, self.fine = np.vstack([m.out, m.out_shift]), np.concatenate([m.fine, m.fine_shift[:, None]], axis=1)
         gap, past = distances()
         self.bias = np.where(past, m.back[gap], -1e9).astype(np.float32)
 
@@ -286,39 +364,27 @@ class Scorer:
         m = self.m
         width = block.shape[1] - 1
         ids, targets = np.maximum(block[:, :-1], 0), block[:, 1 + skip :]
-        late = ids[:, skip:]
-        a = self.q[late] @ self.k[ids].transpose(0, 2, 1)
-        a += self.bias[skip:width, :width]
-        a, sums = _exp_rows(a)
-        c = a @ self.v[ids]
-        c /= sums[..., None]
-        at = np.nonzero(targets >= 0)
-        h = self.own[late[at]]
-        h += c[at] @ m.seen
-        np.tanh(h, out=h)
-        z = h @ m.out
-        z += m.out_shift
-        goal = targets[at]
-        got = _log_share(z, m.classes[goal]) + m.within[goal]
-        rows = np.flatnonzero(m.inner[goal] >= 0)
-        for kind, part in _by_class(m.classes[goal[rows]] - OWN_CLASS, rows):
-            z = h[part] @ m.fine[kind]
-            z += m.fine_shift[kind]
-            got[part] += _log_share(z, m.inner[goal[part]])
-        total += np.bincount(owner[at[0]], got, len(total))
+        asks, gives = self.asks[ids[:, skip:]], self.gives[ids]
+        c = _attend(asks[..., :WIDTH], gives[..., :WIDTH], gives[..., WIDTH:], self.bias[skip:width, :width])[1]
+        at = np.flatnonzero(targets >= 0)
+        goal, c, own = targets.ravel()[at], c.reshape(-1, WIDTH + 1), asks.reshape(-1, asks.shape[-1])[:, WIDTH:]
+        if len(at) < len(c):
+            c, own = c[at], own[at]
+        h = (c[:, :WIDTH] / c[:, WIDTH:]) @ m.seen
+        h += own
+        state = np.ones((len(at), HIDDEN + 1), h.dtype)
+        state[:, :HIDDEN] = _tanh(h)
+        got = _log_share(state @ self.out, m.classes[goal]) + m.within[goal]
+        order, kinds, edges = _by_class(m.classes[goal] - OWN_CLASS, np.flatnonzero(m.inner[goal] >= 0))
+        if len(order):
+            got[order] += _log_share(_by_weights(state[order], self.fine, kinds, edges), m.inner[goal[order]])
+        total += np.bincount(owner[at // targets.shape[1]], got, len(total))
 
 
 def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of each row at one place; z is overwritten."""
-    got = z[np.arange(len(at)), at]
-    if z.size and z.max() < 60.0:
-        total = np.exp(z) @ np.ones(z.shape[-1], z.dtype)
-        if total.min() > 1e-20:
-            return got - np.log(total)
-    top = z.max(-1)
-    z -= top[:, None]
-    np.exp(z, out=z)
-    return got - top - np.log(z.sum(-1))
+    """Log softmax of each row at one place; z may be overwritten."""
+    total = _exp_rows(z)[1]
+    return z[np.arange(len(at)), at] - np.log(total)
 
 
 ENCODED = "block long, row long, doc_id long, held_out boolean, places binary, ids binary, range int, hashes binary, at binary, counts binary, training long"
@@ -358,8 +424,9 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, chars: int = BLOCK_CHAR
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, held_out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                low = lower_ascii(text.as_py())
-                place = np.fromiter((known.setdefault(w, len(known)) for w in low.encode("utf-8", "surrogatepass").split()), np.int32)
+                raw = text.as_py().encode("utf-8", "surrogatepass").lower()
+                low = raw.decode("utf-8", "surrogatepass")
+                place = np.fromiter([known.setdefault(w, len(known)) for w in raw.split()], np.int32)
                 row += 1
                 out.append((block, row, doc_id, held_out, place.tobytes(), tok.encode(low).astype(small).tobytes(), None, None, None, None, None))
                 if not held_out:

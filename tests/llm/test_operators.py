@@ -587,6 +587,20 @@ def test_gradients(few_classes):
         assert g[k][(0, *at[1:]) if k.startswith("fine") else at] == pytest.approx((up - down) / (2 * h), rel=1e-3, abs=1e-7)
 
 
+@pytest.mark.parametrize("by", [200.0, -200.0])
+def test_softmaxes_do_not_change_by_a_constant(few_classes, by):
+    """Numbers whose exp float32 can't hold give the same scores and gradients, padded windows too."""
+    model, _ = tiny_model()
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 100, n) for n in (0, 1, 40, 64, 200)]
+    ids, targets, real = rng.integers(0, 100, (3, lm.WINDOW)), rng.integers(0, 100, (3, lm.WINDOW)), rng.random((3, lm.WINDOW)) < 0.8
+    want, (loss, g) = lm.Scorer(model)(texts), lm.step(model, ids, targets, real)
+    model.out_shift, model.back, model.fine_shift = model.out_shift + by, model.back + by, model.fine_shift + by
+    assert lm.Scorer(model)(texts) == pytest.approx(want, rel=1e-3)
+    again, h = lm.step(model, ids, targets, real)
+    assert again == pytest.approx(loss, rel=1e-3) and all(np.allclose(g[k], h[k], atol=1e-4) for k in model.PARTS)
+
+
 # 10
 
 
